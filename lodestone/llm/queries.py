@@ -7,22 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import line_dedup, quality, sharding, simhash
+from lodestone.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, url_filter, warc
+from lodestone.plans import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 40
+#: (host, path, allow)
+URL_RULES = (
+    ("com", "/en/", False),
+    ("example.com", "/en/7", True),
+    ("net", "/de/", True),
+    ("example.net", "/de/8", False),
+    ("org", "/es/", False),
+)
+MIX = mixing.Plan(
+    categories={
+        "source": [f"src{i}" for i in range(20)],
+        "lang": ["en", "fr", "de", "es"],
+        "topic": ["legal", "table", "contact", "general"],
+    },
+    powers={"source": 0.7, "lang": 0.7, "topic": 0.8},
+    share=0.5,
+)
+
+
+def tokenizer() -> str:
+    """The place of the packing vocabulary; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.folder(spark)
+    manifest = warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(manifest, folder).drop("url", "file")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return line_dedup.line_counts(docs, line_dedup.keep_bitmaps(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     print16 = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
@@ -33,18 +68,64 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(_table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0])
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = mixing.weigh(_table(spark, sf_dir, "documents"), MIX)
+    cell = [F.col(f"c_{d}").alias(d) for d in mixing.DIMENSIONS]
+    return weighed.select("row.doc_id", *cell, "n_tokens", "probability", "selected")
+
+
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def queries() -> dict[str, Query]:
-    return {
-        "op2_line_dedup": op2_line_dedup,
-        "op4_simhash": op4_simhash,
-        "op5_sharding": op5_sharding,
-        "op10_quality": op10_quality,
-    }
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
 
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    found = [op1_warc, op2_line_dedup, op3_url_filter, op4_simhash, op5_sharding, op6_packing]
+    found += [op7_mixing, op8_embed_dedup, op9_langid, op10_quality, pipeline]
+    return {f.__name__: f for f in found}
+
+
+_OP1 = """
+WITH paid AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+least_ids AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM paid)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM least_ids"""
+
+_OP3 = r"""
+WITH parsed AS (
+  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS p FROM pages),
+parts AS (
+  SELECT page_id, CASE WHEN p > 0 THEN substr(u, p + 3) ELSE '' END AS rest FROM parsed),
+named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
+rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+                         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+won AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM named, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM named LEFT JOIN won USING (page_id)"""
 
 _OP2 = r"""
 WITH lines AS (
@@ -68,23 +149,5 @@ FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2, "op5_sharding": _op5_sql()}
-
-
-def _op5_sql() -> str:
-    def best(shards: int) -> str:
-        score = (
-            f"-1.0 / ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || s), 1, {sharding._HEX}))::BIGINT::DOUBLE + 0.5)"
-            f" / {float(16 ** sharding._HEX)}::DOUBLE)"
-        )
-        return f"(SELECT arg_max(s, {score}) FROM range({shards}) r(s))"
-
-    return f"""
-WITH placed AS (
-  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
-         coalesce(text, '') AS body, {best(SHARDS)} AS shard, {best(SHARDS + 1)} AS grown
-  FROM documents)
-SELECT doc_id, size, 'key' AS law, CAST(shard AS INTEGER) AS shard,
-       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
-       CAST(grown AS INTEGER) AS grown_shard
-FROM placed"""
+    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _OP3}
+
