@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.tokens import Encoder
+from lodestone.llm import tokens
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
 
@@ -42,7 +42,7 @@ def _route(ids: np.ndarray) -> int:
 
 def _tokenized(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = tokens.encoder(path)
         end = np.array([end_id], encoder.dtype)
         for batch in batches:
             n, raw, routes = [], [], []
@@ -69,9 +69,8 @@ def _frequencies(dtype: str):
                 ids = np.frombuffer(raw.as_py(), dtype)
                 if (top := int(ids.max()) + 1) > len(docs):
                     docs = np.pad(docs, (0, top - len(docs)))
-                seen = np.zeros(len(docs), bool)
-                seen[ids] = True
-                docs += seen
+                ids = np.sort(ids)
+                docs[ids[np.append(True, ids[1:] != ids[:-1])]] += 1
         terms = np.flatnonzero(docs)
         yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(docs[terms])], ["term", "docs"])
 
@@ -94,6 +93,13 @@ class Index:
         self._count = np.zeros(len(idf) + 1, np.int64)
         self._start[self.terms[first]] = first
         self._count[self.terms[first]] = np.diff(np.r_[first, len(self.terms)])
+        # Terms of many documents get a row of weights each: summing rows is faster than their postings.
+        common = first[np.diff(np.r_[first, len(self.terms)]) * 8 >= self.size]
+        self._row = np.full(len(idf) + 1, -1, np.int64)
+        self._row[self.terms[common]] = np.arange(len(common))
+        at = self._row[self.terms]
+        self._rows = np.zeros((len(common), self.size), np.float32)
+        self._rows[at[at >= 0], self.docs[at >= 0]] = self.weights[at >= 0]
         by_doc = np.argsort(self.docs, kind="stable")
         self._of = self.terms[by_doc]
         self._at = np.searchsorted(self.docs[by_doc], np.arange(self.size + 1))
@@ -101,9 +107,12 @@ class Index:
     def scores(self, doc: int) -> np.ndarray:
         """The score of every document for the terms of one of them, over their whole postings."""
         terms = self._of[self._at[doc] : self._at[doc + 1]]
+        row = self._row[terms]
+        found = self._rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        terms = terms[row < 0]
         start, count = self._start[terms], self._count[terms]
         places = np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
-        return np.bincount(self.docs[places], self.weights[places], self.size)
+        return found + np.bincount(self.docs[places], self.weights[places], self.size)
 
 
 class Packer:
@@ -206,7 +215,7 @@ def pack(
     frequencies sent to the driver are at most one row per id of the vocabulary.
     """
     spark = docs.sparkSession
-    dtype = Encoder(tokenizer).dtype
+    dtype = tokens.encoder(tokenizer).dtype
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     table = scratch.written(

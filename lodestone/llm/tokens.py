@@ -2,33 +2,80 @@
 
 from __future__ import annotations
 
+from array import array
+from functools import lru_cache
+
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept at once; when there are more the cache starts anew, which changes no result.
-CACHED_WORDS = 300_000
+#: Words kept at once; further ones are encoded each time, which changes no result.
+CACHED_WORDS = 500_000
+_LATIN = [chr(i) for i in range(256)]
+_LOWER = bytes(ord(c.lower()) for c in _LATIN)
+_PROSE = bytes(i for i, c in enumerate(_LATIN) if c.isalpha() or c in "0123456789 \t\n\r\x0b\x0c.,")
+_PAIRS = (b"..", b".,", b",.", b",,")
+
+
+def _byte_level() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is printable and no space, else the
+    next one from U+0100 on."""
+    table, spare = {}, 256
+    for i, c in enumerate(_LATIN):
+        if c.isprintable() and not c.isspace() and i != 0xAD:
+            table[i] = c
+        else:
+            table[i], spare = chr(spare), spare + 1
+    return table
+
+
+_BYTES = _byte_level()
 
 
-class Encoder:
-    """The ids that the tokenizer gives a text.
+class Encoder(dict):
+    """The ids that the tokenizer gives a text, as little-endian bytes by word.
 
-    For tokenizers that split at white space before any merge and whose normalizer looks at
-    neither side of a space: a text's ids are then those of its space- and newline-separated
-    parts in turn.  Special tokens' strings are ordinary text.
+    For lower-casing byte-level tokenizers that split at white space and between letters, digits
+    and punctuation before any merge, and whose normalizer looks at neither side of a split: a
+    text's ids are then those of its parts in turn.  Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._cache: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+
+    def __missing__(self, word: bytes | str) -> bytes:
+        text = word.decode("latin-1") if isinstance(word, bytes) else word
+        if isinstance(word, bytes) and text.isalpha():  # one part, lower-cased: the merges alone
+            spelled = text if word.isascii() else text.encode().decode("latin-1").translate(_BYTES)
+            found = [t.id for t in self._model.tokenize(spelled)]
+        else:
+            found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids = array(self._code, found).tobytes()
+        if len(self) < CACHED_WORDS:
+            self[word] = ids
+        return ids
+
+    @staticmethod
+    def _parts(text: str) -> list:
+        """Parts that encode to a text's ids in turn.  Latin-1 texts are lower-cased here; where
+        full stops and commas stand alone among letters and digits they become parts."""
+        try:
+            raw = text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if not raw.translate(None, _PROSE) and not any(p in raw for p in _PAIRS):
+            raw = raw.replace(b".", b" . ").replace(b",", b" , ")
+        return raw.split()
 
     def encode(self, text: str) -> np.ndarray:
-        parts = text.replace("\n", " ").split(" ")
-        if new := set(parts).difference(self._cache):
-            if len(self._cache) > CACHED_WORDS:
-                self._cache, new = {}, set(parts)
-            new = list(new)
-            for word, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self._cache[word] = np.array(found.ids, self.dtype).tobytes()
-        return np.frombuffer(b"".join(map(self._cache.__getitem__, parts)), self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, self._parts(text))), self.dtype)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a process, whose cache outlives a task."""
+    return Encoder(path)
