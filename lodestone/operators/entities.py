@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators import packs
-
-#: A lexicon of at most so many bytes in memory is sent to every executor; larger ones are joined.
-BROADCAST_BYTES = 64 << 20
+from lodestone.plans.size import small
 
 
 def _spanned(n: int):
@@ -23,7 +21,7 @@ def lexicon_entities(texts: DataFrame, lexicon: DataFrame, longest: int = 3, id_
     whatever their case; ``start`` and ``end`` are word numbers, half open.
 
     ``lexicon`` has ``term`` and ``label``; terms are compared word by word.  The join is a hash
-    join on the run of words; Spark broadcasts the lexicon only when its size allows it.
+    join on the run of words; the lexicon is broadcast behind a check of its size.
     """
     tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
     each = texts.select(F.col(id_col).alias("id"), tokens.alias("w"))
@@ -34,7 +32,7 @@ def lexicon_entities(texts: DataFrame, lexicon: DataFrame, longest: int = 3, id_
         runs.append(F.transform(run, _spanned(n)))
     grams = each.select("id", F.explode_outer(F.concat(*runs)).alias("g")).filter("g.text is not null").select("id", "g.*").withColumn("term", F.lower("text"))
     words = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
-    terms = lexicon.select(words.alias("term"), "label").distinct()
+    terms = small(lexicon.select(words.alias("term"), "label").distinct())
     return grams.join(terms, "term").select("id", "text", "label", "start", "end", F.lit(1.0).alias("confidence"))
 
 

@@ -156,7 +156,7 @@ SQL = {
 SELECT chunk_id, count(*) AS mentions FROM named s WHERE NOT EXISTS (SELECT 1 FROM fe r WHERE r.chunk_id = s.chunk_id AND ((r.start <= s.start AND s.start < r."end") OR (r.start < s.start + 1 AND s.start + 1 <= r."end"))) GROUP BY 1""",
     "entity_normalize": f"{MENTIONS}, d AS (SELECT DISTINCT text FROM mentions) SELECT text, {_NAME} AS name FROM d",
     "entity_merge": f"""{MENTIONS}, m AS (SELECT {_NAME} AS name, text, label, confidence FROM mentions),
-t AS (SELECT name, text, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY name, text) AS times FROM m GROUP BY ALL),
+t0 AS (SELECT name, text, label, count(*) AS n FROM m GROUP BY 1, 2, 3), t AS (SELECT *, sum(n) OVER (PARTITION BY name, text) AS times FROM t0),
 r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY (CASE WHEN name = 'person' AND text = 'idiot' THEN 1000 ELSE 0 END) + times * 10 + 5
   + CASE WHEN upper(text) = text AND lower(text) <> text AND length(text) <= 5 THEN 50 WHEN length(text) > 1 AND upper(text[1]) = text[1] AND lower(text[1]) <> text[1] AND lower(text[2:]) = text[2:] THEN 20 ELSE 0 END DESC, text, label) AS k FROM t)
 SELECT name AS normalized_name, max(text) FILTER (k = 1) AS name, max(label) FILTER (k = 1) AS label, sum(n)::BIGINT AS mention_count, 1.0::DOUBLE AS confidence, array_to_string(list_sort(list_distinct(list(text))), '|') AS variants FROM r GROUP BY r.name""",

@@ -1,2 +1,88 @@
-QUERIES = {}
-SQL = {}
+"""Queries for sources, incremental work and usage."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import word_count
+from lodestone.plans import scratch
+from lodestone.sources import readers, writers
+from lodestone.streaming import intake
+from lodestone.queries.common import ARTICLES, articles, count_sql, table
+
+
+def source_union(spark, sf_dir):
+    """Documents, pages and conversations as sources of one corpus."""
+    a = articles(spark, sf_dir).select("url", "title", "content")
+    p = table(spark, sf_dir, "pages").select("url", F.col("html").alias("content"))
+    c = table(spark, sf_dir, "conversations").select(F.col("text").alias("content"))
+    u = readers.union_sources({"blog": a, "web": p, "forum": c})
+    return u.groupBy("source_type").agg(F.count("*").alias("rows"), F.count("url").alias("with_url"), F.sum(word_count(F.col("content"))).cast("bigint").alias("words"))
+
+
+def scan_articles(spark, sf_dir):
+    """Articles written as JSON files and read back with the article schema."""
+    path = scratch.folder(spark)
+    articles(spark, sf_dir).select("url", "title", "content", "date", "excerpt", "word_count").write.json(path)
+    back = spark.read.schema(readers.ARTICLE).json(path).withColumn("published", F.try_to_timestamp("date"))
+    return back.select("url", "title", F.length("content").cast("bigint").alias("chars"), F.year("published").cast("bigint").alias("year"))
+
+
+def snapshot_round_trip(spark, sf_dir):
+    """A version is committed, replaced by a second one, and the current one read."""
+    root = scratch.folder(spark)
+    a = articles(spark, sf_dir).select("doc_id", "source", "word_count")
+    writers.commit_snapshot(spark, root, "v_1", {"articles": a.filter("word_count < 100")})
+    writers.commit_snapshot(spark, root, "v_2", {"articles": a})
+    return writers.read_snapshot(spark, root, "articles").groupBy("source").agg(F.count("*").alias("articles"), F.sum("word_count").cast("bigint").alias("words"))
+
+
+def upsert(spark, sf_dir):
+    """Documents of even ids as known ones, all of the hot half again in capitals."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
+    known = d.filter("doc_id % 2 = 0")
+    new = d.filter("doc_id % 3 = 0").withColumn("n", F.lit(-1).cast("bigint"))
+    return writers.upserted(known, new, "doc_id").groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("n") < 0).alias("replaced"))
+
+
+def usage_report(spark, sf_dir):
+    u = intake.usage_windows(table(spark, sf_dir, "events"), "1 day")
+    return u.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+def usage_stream(spark, sf_dir):
+    """The same report from the event files as a stream, read to its end."""
+    path = f"{sf_dir}/events.parquet"
+    stored = spark.read.parquet(path)
+    folder, glob = (path, "*") if not path.endswith(".parquet") else (sf_dir, "events.parquet")
+    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", glob).parquet(folder)
+    out = scratch.folder(spark)
+    report = intake.usage_windows(events, "1 day")
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(f"{out}/table")
+    query = report.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 4).alias("value"))
+
+
+def user_sessions(spark, sf_dir):
+    s = intake.sessions(table(spark, sf_dir, "events"), "6 hours")
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("longest"))
+
+
+QUERIES = {f.__name__: f for f in (source_union, scan_articles, snapshot_round_trip, upsert, usage_report, usage_stream, user_sessions)}
+_USAGE = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
+SQL = {
+    "source_union": f"""WITH {ARTICLES}
+SELECT 'blog' AS source_type, count(*) AS rows, count(url) AS with_url, sum({count_sql('content')})::BIGINT AS words FROM articles
+UNION ALL SELECT 'web', count(*), count(url), sum({count_sql('html')})::BIGINT FROM pages UNION ALL SELECT 'forum', count(*), 0, sum({count_sql('text')})::BIGINT FROM conversations""",
+    "scan_articles": f"WITH {ARTICLES} SELECT url, title, length(content) AS chars, CAST(substr(date, 1, 4) AS BIGINT) AS year FROM articles",
+    "snapshot_round_trip": f"WITH {ARTICLES} SELECT source, count(*) AS articles, sum(word_count)::BIGINT AS words FROM articles GROUP BY 1",
+    "upsert": "SELECT source, count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS replaced FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1",
+    "usage_report": _USAGE,
+    "usage_stream": _USAGE,
+    "user_sessions": """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max(n) AS longest FROM c GROUP BY 1""",
+}
