@@ -75,7 +75,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighed = mixing.weigh(_table(spark, sf_dir, "documents"), MIX)
     cell = [F.col(f"c_{d}").alias(d) for d in mixing.DIMENSIONS]
-    return weighed.select("row.doc_id", *cell, "n_tokens", "probability", "selected")
+    return weighed.select(F.col("id").alias("doc_id"), *cell, "n_tokens", "probability", "selected")
 
 
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,5 +149,28 @@ FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _OP3}
+    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _OP3, "op5_sharding": _op5_sql()}
+
+
+def _op5_sql() -> str:
+    """Scores by MD5 as in the operator; the CRC-32 from its polynomial, byte by byte."""
+    digits = sharding._HEX
+
+    def best(shards: int) -> str:
+        u = f"(('0x' || substr(md5(doc_id::VARCHAR || ':' || s), 1, {digits}))::BIGINT::DOUBLE + 0.5) / {16**digits}::DOUBLE"
+        return f"(SELECT arg_max(s, -1.0 / ln({u})) FROM range({shards}) r(s))"
+
+    return f"""
+WITH RECURSIVE step(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM step WHERE k = 8),
+raw AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+placed AS (
+  SELECT doc_id, len(b) + 16 AS size, {best(SHARDS)} AS shard, {best(SHARDS + 1)} AS grown,
+         xor(list_reduce(b, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM raw, crc)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM placed"""
 
