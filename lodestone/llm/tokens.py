@@ -13,6 +13,7 @@ CACHED_WORDS = 500_000
 _LATIN = [chr(i) for i in range(256)]
 _LOWER = bytes(ord(c.lower()) for c in _LATIN)
 _PROSE = bytes(i for i, c in enumerate(_LATIN) if c.isalpha() or c in "0123456789 \t\n\r\x0b\x0c.,")
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe: it may start a part of its own
 _PAIRS = (b"..", b".,", b",.", b",,")
 
 
@@ -52,6 +53,8 @@ class Encoder(dict):
         if isinstance(word, bytes) and text.isalpha():  # one part, lower-cased: the merges alone
             spelled = text if word.isascii() else text.encode().decode("latin-1").translate(_BYTES)
             found = [t.id for t in self._model.tokenize(spelled)]
+        elif isinstance(word, bytes) and (core := word.rstrip(_MARKS)) != word and core.decode("latin-1").isalpha():
+            return self[core] + self[word[len(core) :]]  # letters, then marks: two parts
         else:
             found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         ids = array(self._code, found).tobytes()
