@@ -12,6 +12,10 @@ from lodestone.operators import packs
 from lodestone.plans.size import small
 
 
+#: So many terms are also looked for inside the text's row, before its runs become rows.
+FEW_TERMS = 1000
+
+
 def _spanned(n: int):
     return lambda x, i: F.struct(i.alias("start"), (i + n).alias("end"), x.alias("text"))
 
@@ -25,15 +29,17 @@ def lexicon_entities(texts: DataFrame, lexicon: DataFrame, longest: int = 3, id_
     """
     tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
     each = texts.select(F.col(id_col).alias("id"), tokens.alias("w"))
+    words = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
+    terms = lexicon.select(words.alias("term"), "label").distinct()
+    few = [r["term"] for r in terms.select("term").limit(FEW_TERMS + 1).collect()]
+    may_match = (lambda g: F.lower(g["text"]).isin(few)) if 0 < len(few) <= FEW_TERMS else (lambda g: g["text"].isNotNull())
     run, runs = F.col("w"), []
     for n in range(1, longest + 1):
         if n > 1:  # null, and so no term, past the last word
             run = F.zip_with(run, F.slice("w", n, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
-        runs.append(F.transform(run, _spanned(n)))
+        runs.append(F.filter(F.transform(run, _spanned(n)), may_match))
     grams = each.select("id", F.explode_outer(F.concat(*runs)).alias("g")).filter("g.text is not null").select("id", "g.*").withColumn("term", F.lower("text"))
-    words = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
-    terms = small(lexicon.select(words.alias("term"), "label").distinct())
-    return grams.join(terms, "term").select("id", "text", "label", "start", "end", F.lit(1.0).alias("confidence"))
+    return grams.join(small(terms), "term").select("id", "text", "label", "start", "end", F.lit(1.0).alias("confidence"))
 
 
 def regex_entities(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

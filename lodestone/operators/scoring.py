@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import contains_any, count_of, count_present, distinct_count, pieces, strip, text_of, total, word_count, words
+from lodestone.functions.text import contains_any, count_of, count_present, distinct_count, let, pieces, strip, text_of, total, word_count, words
 from lodestone.operators.clean import review_text
 from lodestone.operators.packs import SLOVAK_MARKETING, SLOVAK_PAYWALL, SLOVAK_REVIEW, MarketingPack, PaywallPack, ReviewPack
 
@@ -205,27 +205,34 @@ def marketing(text: Column, pack: MarketingPack = SLOVAK_MARKETING) -> Column:
 def content_quality(text: Column, paragraphs: Column) -> Column:
     """struct(quality, issues): length, sentences, paragraphs and repetition of a text."""
     body = text_of(text)
-    w = words(body)
-    low = words(F.lower(body))
-    n, parts = F.size(w), pieces(body)
-    ends = F.size(F.split(body, r"[.!?]+"))
-    in_sentences = F.aggregate(F.transform(parts, word_count), F.lit(0), lambda s, x: s + x)
-    mean = F.when(F.size(parts) > 0, in_sentences / F.size(parts))
+    facts = F.struct(
+        word_count(body).alias("n"),
+        F.size(F.split(body, r"[.!?]+")).alias("ends"),
+        words(F.lower(body)).alias("low"),
+        F.transform(pieces(body), word_count).alias("sizes"),
+        paragraphs.alias("paragraphs"),
+        (body == "").alias("empty"),
+    )
+    return let(facts, _judged_content)
+
+
+def _judged_content(f: Column) -> Column:
+    n, ends, low, sizes = f["n"], f["ends"], f["low"], f["sizes"]
+    mean = F.when(F.size(sizes) > 0, F.aggregate(sizes, F.lit(0), lambda s, x: s + x) / F.size(sizes))
     rules = [
         (n < 100, "very_short", 0.3),
         ((n >= 100) & (n < 300), "short", 0.1),
         (ends < 5, "few_sentences", 0.2),
-        (paragraphs < 2, "poor_paragraphs", 0.1),
+        (f["paragraphs"] < 2, "poor_paragraphs", 0.1),
         (distinct_count(low) < F.size(low) * 0.4, "repetition", 0.2),
         (mean < 5, "short_sentences", 0.1),
         (mean > 30, "long_sentences", 0.1),
     ]
     lost = total(points(when, by) for when, _, by in rules)
     issues = F.array_compact(F.array(*(F.when(when, name) for when, name, _ in rules)))
-    empty = body == ""
     return F.struct(
-        F.when(empty, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - lost), 9)).alias("quality"),
-        F.when(empty, F.array(F.lit("empty"))).otherwise(issues).alias("issues"),
+        F.when(f["empty"], 0.0).otherwise(F.round(F.greatest(F.lit(0.0), 1.0 - lost), 9)).alias("quality"),
+        F.when(f["empty"], F.array(F.lit("empty"))).otherwise(issues).alias("issues"),
     )
 
 
