@@ -7,6 +7,8 @@ session that names no folder, as in tests, gets a temporary one.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {_KEY} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+        made = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        base = "file://" + made
         spark.conf.set(_KEY, base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 

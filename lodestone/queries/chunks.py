@@ -117,6 +117,4 @@ SELECT article_id, chunk_id, {_KEY} AS chunk_key, CASE WHEN chunk_id > 0 THEN ch
 SELECT 'chunk_' || ({_KEY}) AS id, coalesce(url, '') AS source_url, coalesce(title, '') AS source_title, coalesce(date, '') AS source_date, substr(array_to_string(x.ss[f + 1 : x.s0], ' '), 1, 200) AS preceding,
   CASE WHEN chunk_id > 0 THEN chunk_id - 1 ELSE -1 END AS previous, CASE WHEN chunk_id < nc - 1 THEN chunk_id + 1 ELSE -1 END AS next
 FROM chunks c JOIN articles a ON a.doc_id = c.article_id JOIN ctx x USING (article_id, chunk_id)""",
-    "chunk_headers": None,
 }
-SQL = {k: v for k, v in SQL.items() if v}
