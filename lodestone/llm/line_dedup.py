@@ -223,4 +223,4 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     """
     keyed = bitmaps.withColumnRenamed("id", "__id").withColumnRenamed("keep", "__keep")
     joined = docs.join(keyed, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    return map_arrow(joined, _rewritten(docs.columns.index(text_col)), docs.schema.simpleString()[7:-1]).select(*docs.columns)
+    return map_arrow(joined, _rewritten(docs.columns.index(text_col)), docs.schema)

@@ -201,5 +201,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows that :func:`judge` keeps, with all their columns."""
     named = _named(id_col, stratum_col)
     cutoffs = certified_cutoffs(count_texts(docs, text_col, named), labels)
-    whole = count_texts(docs, text_col, [*named, F.struct(*map(F.col, docs.columns)).alias("__row")])
+    whole = count_texts(docs, text_col, [*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")])
     return verdicts(whole, cutoffs).filter("kept").select("__row.*")
