@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunk as C
 from lodestone.queries.common import ARTICLES, WS, articles, count_sql, joined
-from lodestone.queries.text import SENTENCES
+from lodestone.queries.text import HEADERS, SENTENCES
 
 #: Sizes that suit the short test documents.
 SIZE, OVERLAP, CONTEXT = 60, 15, 30
@@ -113,6 +113,9 @@ SELECT article_id, chunk_id, array_to_string(ss[f + 1 : s0], ' ') AS preceding_c
     "chunk_adjacency": f"""{WITH_CHUNKS}
 SELECT article_id, chunk_id, {_KEY} AS chunk_key, CASE WHEN chunk_id > 0 THEN chunk_id - 1 END AS previous_chunk_id, CASE WHEN chunk_id < nc - 1 THEN chunk_id + 1 END AS next_chunk_id, e0 - s0 AS chunk_sentence_count FROM chunks""",
     "chunk_stats": f"{WITH_CHUNKS} SELECT count(DISTINCT article_id) AS articles, count(*) AS chunks, round(avg(word_count), 6) AS avg_words FROM chunks",
+    "chunk_headers": f"""{WITH_CHUNKS}
+SELECT article_id, {HEADERS.replace('text', 'content')} AS article_section_headers, substr(ss[s0 + 1], 1, 150) || '...' AS chunk_start_sentence, substr(ss[e0], 1, 150) || '...' AS chunk_end_sentence
+FROM chunks JOIN articles ON doc_id = article_id WHERE chunk_id = 0""",
     "chunk_metadata": f"""{WITH_CHUNKS}, {_CONTEXT}
 SELECT 'chunk_' || ({_KEY}) AS id, coalesce(url, '') AS source_url, coalesce(title, '') AS source_title, coalesce(date, '') AS source_date, substr(array_to_string(x.ss[f + 1 : x.s0], ' '), 1, 200) AS preceding,
   CASE WHEN chunk_id > 0 THEN chunk_id - 1 ELSE -1 END AS previous, CASE WHEN chunk_id < nc - 1 THEN chunk_id + 1 ELSE -1 END AS next

@@ -130,9 +130,9 @@ cleaned AS (
   SELECT doc_id, content, array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i:
     NOT ends_with({strip_sql('ls[i]')}, ':') OR len(list_filter(ls[i + 1 : i + 4], lambda x: {_SAYS})) > 0), lambda i: ls[i]), chr(10)) AS cleaned
   FROM spaced)"""
-_LINE = "l"
 _HEADING = f"""length(l) > 0 AND length(l) < 100 AND ((upper(l) = l AND lower(l) <> l)
   OR (ends_with(l, ':') AND strpos(l, ':') = length(l)) OR starts_with(l, '#') OR {count_sql('l')} <= 8)"""
+HEADERS = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda l: {_HEADING})[1:5], '|')"
 _LETTERS = f"list_sum(list_transform({words_sql('text')}, lambda w: length(w)))"
 
 
@@ -153,8 +153,7 @@ SELECT doc_id, length(text) AS char_count, w AS word_count, p AS sentence_count,
     "sentences": f"""
 WITH s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents)
 SELECT doc_id, unnest(range(len(ss))) AS place, unnest(ss) AS sentence FROM s""",
-    "section_headers": f"""
-SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda l: {_HEADING})[1:5], '|') AS headers FROM documents""",
+    "section_headers": f"SELECT doc_id, {HEADERS} AS headers FROM documents",
     "clean_article": f"""
 WITH {ARTICLES}, {CLEANED}
 SELECT doc_id, cleaned, {count_sql('content')} AS original_word_count, {count_sql('cleaned')} AS cleaned_word_count FROM cleaned""",
@@ -177,6 +176,14 @@ SELECT doc_id, substr(replace({strip_sql("regexp_replace(title, '[^\\p{L}\\p{N}
 WITH t AS (SELECT doc_id, list_distinct({words_sql(f"lower(regexp_replace(d.text, '{NOT_WORD}', ' ', 'g'))")}) AS a, list_distinct({words_sql(f"lower(regexp_replace(b.text, '{NOT_WORD}', ' ', 'g'))")}) AS b
   FROM documents d JOIN benchmark b ON item_id = doc_id % 40)
 SELECT doc_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END, 6) AS overlap FROM t""",
+    "top_phrases": f"""
+WITH s AS (SELECT unnest(string_split_regex(lower(text), '[.!?]+')) AS s FROM documents),
+w AS (SELECT list_filter(regexp_extract_all(s, '{WORD}+'), lambda x: length(x) >= 3) AS w FROM s),
+g AS (SELECT w, n.n AS n, unnest(range(len(w) - n.n + 1)) AS i FROM w, (VALUES (3), (4)) n(n) WHERE len(w) >= n.n),
+p AS (SELECT w[i + 1 : i + n] AS p FROM g)
+SELECT array_to_string(p, ' ') AS phrase, count(*) AS n FROM p
+WHERE len(list_filter(p, lambda x: length(x) > 3 AND x NOT IN ({', '.join(f"'{x}'" for x in MARKETING.function_words)}))) > 0
+GROUP BY 1 ORDER BY n DESC, phrase LIMIT 30""",
     "top_words": f"""
 WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '{WORD}+')) AS word FROM documents)
 SELECT word, count(*) AS n FROM w WHERE length(word) >= 4 GROUP BY word ORDER BY n DESC, word LIMIT 50""",
