@@ -5,13 +5,14 @@ tell how many of them a cutoff would reject, and an exact binomial (Clopper-Pear
 many of all good documents it can reject at most.  Cutoffs are tried from the loosest down
 within each stratum and rule, stopping at the first that cannot be certified, so a rule's whole
 sequence costs one test; the confidence is split over all strata and rules (Bonferroni), and the
-allowed share of false rejections over the rules.  A stratum with too few labels gets no cutoff
-and loses nothing to the rules.
+allowed share of false rejections over the rules.  :func:`joint_cutoffs`, which the query and the
+pipeline use, certifies the rules together instead and needs a fifth of the labels.  A stratum
+with too few labels gets no cutoff and loses nothing to the rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import exp, lgamma, log, log1p
 
 import numpy as np
@@ -166,6 +167,63 @@ def certified_cutoffs(
     return found
 
 
+def _place(rule: tuple[str, str, str]) -> Column:
+    """The number of the loosest cutoff that rejects a row, ``len(CUTOFFS)`` if none does."""
+    return sum((F.when(_ratio(rule) > c, 0).otherwise(1) for c in CUTOFFS), F.lit(0))
+
+
+def joint_cutoffs(
+    counted: DataFrame,
+    labels: DataFrame,
+    strata: Sequence[str] = STRATA,
+    max_false: float = MAX_FALSE,
+    error: float = ERROR,
+) -> dict[tuple[str, str], float]:
+    """As :func:`certified_cutoffs`, but certifying what all rules together reject.
+
+    A stratum tightens one rule by one cutoff a step, those steps first that reject few
+    unlabelled documents for each bad one, and stops at the first step whose joint rejection
+    cannot be certified.  The order comes from documents without a good label alone, so it is
+    fixed before the good ones are looked at and a stratum's whole sequence costs one test.
+    """
+    clear = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"), F.count_if(F.col("quality").isNull()).alias("nulls"))
+    clear = clear.select(F.col("doc_id").alias("__doc"), F.when((F.col("q") == F.col("q2")) & (F.col("nulls") == 0), F.col("q")).alias("quality"))
+    held = counted.filter(~base_failed()).join(clear, F.col("__id") == F.col("__doc"), "left").withColumn("stratum", _stratum(strata))
+    above = [F.count_if(_ratio(r) > c).alias(f"{r[0]}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
+    seen: dict[str, dict[int, dict]] = {}
+    for row in held.filter("quality is null or quality <> 1").groupBy("stratum", F.coalesce(F.col("quality") == 0, F.lit(False)).alias("bad")).agg(*above).collect():
+        seen.setdefault(row["stratum"], {})[row["bad"]] = row.asDict()
+    steps: dict[str, list[tuple[str, int]]] = {}
+    for stratum in (*strata, "*"):
+        other, bad = (seen.get(stratum, {}).get(k, {}) for k in (False, True))
+        scored = []
+        for k, (rule, _, _) in enumerate(RULES):
+            worst = 0.0
+            for i in range(len(CUTOFFS)):
+                worst = max(worst, (other.get(f"{rule}_{i}", 0) + 1) / (bad.get(f"{rule}_{i}", 0) + 1))
+                scored.append((worst, i, k))
+        steps[stratum] = [(RULES[k][0], i) for _, i, k in sorted(scored)]
+    never = len(CUTOFFS) * len(RULES)
+    first = []
+    for rule in RULES:
+        by_stratum = F.lit(None).cast("array<int>")
+        for stratum, order in steps.items():
+            at = sorted((i, n) for n, (name, i) in enumerate(order) if name == rule[0])
+            by_stratum = F.when(F.col("stratum") == stratum, F.array(*[F.lit(n) for _, n in at], F.lit(never))).otherwise(by_stratum)
+        first.append(F.get(by_stratum, _place(rule)))
+    good = held.filter("quality = 1").withColumn("step", F.least(*first)).groupBy("stratum", "step").count().collect()
+    found = {}
+    for stratum, order in steps.items():
+        times = {r["step"]: r["count"] for r in good if r["stratum"] == stratum}
+        n, rejected = sum(times.values()), 0
+        for k, (rule, i) in enumerate(order):
+            rejected += times.get(k, 0)
+            if n == 0 or upper_bound(rejected, n, error / len(steps)) > max_false:
+                break
+            found[stratum, rule] = CUTOFFS[i]
+    return found
+
+
 def verdicts(
     counted: DataFrame,
     cutoffs: dict[tuple[str, str], float],
@@ -185,7 +243,7 @@ def _named(id_col: str, stratum_col: str) -> list[Column]:
     return [F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum")]
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", certify: Callable = certified_cutoffs) -> DataFrame:
     """``(doc_id, counts, base_failed, kept)`` for each row.
 
     A null or empty text has no words, fails the base rule and is not kept; its counts are zero.
@@ -193,13 +251,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts in the holdout when its id is labelled.  Without labels only the base rule rejects.
     """
     counted = scratch.written(count_texts(docs, text_col, _named(id_col, stratum_col)))
-    judged = verdicts(counted, certified_cutoffs(counted, labels))
+    judged = verdicts(counted, certify(counted, labels))
     return judged.withColumnRenamed("__id", "doc_id").drop("__stratum")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", certify: Callable = certified_cutoffs) -> DataFrame:
     """The rows that :func:`judge` keeps, with all their columns."""
     named = _named(id_col, stratum_col)
-    cutoffs = certified_cutoffs(count_texts(docs, text_col, named), labels)
+    cutoffs = certify(scratch.written(count_texts(docs, text_col, named)), labels)
     whole = count_texts(docs, text_col, [*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")])
     return verdicts(whole, cutoffs).filter("kept").select("__row.*")

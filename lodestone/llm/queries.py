@@ -87,7 +87,7 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), certify=quality.joint_cutoffs)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
