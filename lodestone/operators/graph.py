@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.entities import entity_merge, entity_name
-from lodestone.plans import scratch
+from lodestone.plans.components import connected_components
 
 MIN_STRENGTH = 2
 
@@ -130,17 +130,10 @@ def neighborhood(entities: DataFrame, edges: DataFrame, top: int = 50, include_s
     return summed.withColumn("__place", place).filter(F.col("__place") <= top).drop("__place")
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """``(entity, community)``: connected components of the edges by spreading the least name.
+def communities(edges: DataFrame) -> DataFrame:
+    """``(entity, community)``: connected components of the edges, named by their least entity.
 
-    Each round is written to the shared folder; it ends when a round changes nothing.
+    Components of any diameter are found whole; an empty table of edges has none.
     """
-    labels = scratch.written(edges.select(F.col("e1").alias("entity")).distinct().withColumn("community", F.col("entity")))
-    for _ in range(rounds):
-        near = edges.join(labels.withColumnRenamed("entity", "e2"), "e2").groupBy(F.col("e1").alias("entity")).agg(F.min("community").alias("__near"))
-        joined = labels.join(near, "entity", "left")
-        new = scratch.written(joined.select("entity", F.least("community", "__near").alias("community"), (F.col("__near") < F.col("community")).alias("moved")))
-        labels = new.select("entity", "community")
-        if new.filter("moved").isEmpty():
-            break
-    return labels
+    found = connected_components(edges.select(F.col("e1").alias("a"), F.col("e2").alias("b")))
+    return found.select(F.col("node").alias("entity"), F.col("component").alias("community"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from collections.abc import Callable
@@ -19,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
-    base = Path(tempfile.mkdtemp(prefix="ship-")) / _ROOT.name
+    folder = tempfile.mkdtemp(prefix="ship-")  # the driver's own: executors fetch the zip from it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    base = Path(folder) / _ROOT.name
     archive = shutil.make_archive(str(base), "zip", _ROOT.parent, _ROOT.name)
     context.addPyFile(archive)
     _shipped.add(context.applicationId)

@@ -2,12 +2,14 @@
 
 A table is written as Parquet below the folder that ``spark.checkpoint.dir`` names, which every
 executor of a cluster can reach, and read back, so that its lineage ends there.  Only a local
-session that names no folder, as in tests, gets a temporary one.
+session that names no folder, as in tests, gets a temporary one.  The application's tables go
+when its driver ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,19 +17,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_ending: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def folder(spark: SparkSession) -> str:
     """A new name below the shared folder."""
     base = spark.conf.get(_KEY, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {_KEY} to a folder that all executors share")
         made = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         base = "file://" + made
         spark.conf.set(_KEY, base)
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    of_application = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if of_application not in _ending:
+        where, files = _path(spark, of_application)
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _ending.add(of_application)
+    return f"{of_application}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -40,5 +54,5 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made here."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _path(spark, path)
+    files.delete(where, True)

@@ -88,7 +88,7 @@ def neighborhood_2hop(spark, sf_dir):
 
 
 def communities(spark, sf_dir):
-    return G.communities(G.cooccurrence(_mentions(spark, sf_dir), min_strength=50))
+    return G.communities(G.cooccurrence(_mentions(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (entity_nodes, article_nodes, chunk_article_join, mention_edges, cooccurrence, strongest_edges, cooccurrence_edges, cooccurrence_analysis, graph_stats, entity_context, neighborhood_2hop, communities)}
@@ -129,8 +129,7 @@ t AS (SELECT entity, e2 AS neighbour, strength FROM one UNION ALL SELECT o.entit
 s AS (SELECT entity, neighbour, sum(strength)::BIGINT AS strength FROM t WHERE neighbour <> entity GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY strength DESC, neighbour) AS k FROM s)
 SELECT entity, neighbour, strength FROM r WHERE k <= 10""",
-    "communities": f"""{MENTIONS}, en AS (SELECT DISTINCT chunk_id, trim(lower(text)) AS e FROM mentions),
-ep AS (SELECT a.e AS e1, b.e AS e2 FROM en a JOIN en b ON a.chunk_id = b.chunk_id AND a.e <> b.e GROUP BY 1, 2 HAVING count(*) >= 50),
-reach(s, t) AS (SELECT e1, e1 FROM ep UNION SELECT s, e2 FROM reach JOIN ep ON e1 = t)
+    "communities": f"""{MENTIONS}, {EDGES},
+reach(s, t) AS (SELECT e1, e1 FROM ep UNION SELECT s, e2 FROM reach JOIN edges ON e1 = t)
 SELECT s AS entity, min(t) AS community FROM reach GROUP BY 1""",
 }
