@@ -2,8 +2,9 @@
 
 Fingerprints of whole texts come from one Arrow pass.  Equal ones collapse to one node before
 anything else, so a text with thousands of copies is one row from there on.  Each node is filed
-under the keys of :func:`fingerprints.bucket_keys`, nodes of a bucket are compared inside the
-join, and only pairs within the distance leave it.  Components of those links give the groups.
+under the keys of :func:`fingerprints.bucket_keys`.  Neighbours in a bucket are compared first;
+nodes that those links leave in different components are then compared inside a join, of which
+only pairs within the distance come out.  Components of all links give the groups.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprints
-from lodestone.llm.components import connected_components
+from lodestone.llm import buckets, fingerprints
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
+from lodestone.plans.components import connected_components
+from lodestone.plans.size import small
 
 #: The distance that the bucket keys are made for.
 MAX_BITS = 3
@@ -39,7 +41,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(prints), 4096):
             part = prints[at : at + 4096]
             rows, keys = fingerprints.bucket_keys(part.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "node"])
+
+
+def _close(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
+def links(prints: DataFrame) -> DataFrame:
+    """``(a, b)`` of different fingerprints within the distance, whose components are those of
+    all such pairs; ``prints`` has each ``fp`` once.
+
+    Not every pair is listed: those inside a component that others connect may be left out.
+    """
+    rows = buckets.shared(map_arrow(prints.select("fp"), _keys, "key bigint, node bigint"), ["node"])
+    first = scratch.written(rows.filter(_close("node", "prev_node")).select(F.col("prev_node").alias("a"), F.col("node").alias("b")).distinct())
+    rest = buckets.open_pairs(rows, connected_components(first), _close("a.node", "b.node"))
+    return first.unionByName(rest)
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,22 +72,24 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = scratch.written(map_arrow(narrow, _prints, f"id {kind}, fp bigint"))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    keyed = scratch.written(map_arrow(nodes.select("fp"), _keys, "key bigint, fp bigint"))
-    a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    links = a.join(b, (a["key"] == b["key"]) & near).select("a", "b").distinct()
-    found = connected_components(links).withColumnRenamed("node", "fp")
+    found = connected_components(links(nodes)).withColumnRenamed("node", "fp")
     named = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = named.filter("component is not null").groupBy("root").agg(F.min("least").alias("of_root"))
     groups = named.join(least, "root", "left").select("fp", F.coalesce("of_root", "least").alias("component"))
     return rows.join(groups, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, less those that are not the least id of their group.
+def without(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The documents, less those whose id is another one than its group's ``(id, component)``.
 
-    Rows with a null id stay, as no group can be named by them; repeated rows of a kept id stay.
+    Rows with a null id stay, as no group can be named by them.  Of an id that repeats all rows
+    stay if one of them does.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    dropped = groups.filter("id is not null and id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    each = groups.filter("id is not null").groupBy("id").agg(F.every(F.col("id") != F.col("component")).alias("copy"))
+    copies = scratch.written(each.filter("copy").select(F.col("id").alias("__id")))
+    return docs.join(small(copies), F.col(id_col) == F.col("__id"), "left_anti")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of :func:`simhash_groups`, that with its least id; see :func:`without`."""
+    return without(docs, simhash_groups(docs, id_col, text_col), id_col)
