@@ -13,10 +13,15 @@ from pyspark.sql.types import StructType
 
 _ROOT = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+#: Bytes of a batch: texts lie in a worker several times over, as bytes, words and hashes.
+_BATCH, _BATCH_KEY = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send a zip of this package to the executors, once per application."""
+    """Send a zip of this package to the executors, once per application, and keep the batches
+    of Arrow functions small unless the session has smaller ones."""
+    if int(spark.conf.get(_BATCH_KEY).rstrip("b")) > _BATCH:
+        spark.conf.set(_BATCH_KEY, str(_BATCH))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -129,7 +129,7 @@ t AS (SELECT entity, e2 AS neighbour, strength FROM one UNION ALL SELECT o.entit
 s AS (SELECT entity, neighbour, sum(strength)::BIGINT AS strength FROM t WHERE neighbour <> entity GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY strength DESC, neighbour) AS k FROM s)
 SELECT entity, neighbour, strength FROM r WHERE k <= 10""",
-    "communities": f"""{MENTIONS}, {EDGES},
-reach(s, t) AS (SELECT e1, e1 FROM ep UNION SELECT s, e2 FROM reach JOIN edges ON e1 = t)
+    "communities": f"""{MENTIONS}, {EDGES}, links AS MATERIALIZED (SELECT DISTINCT e1, e2 FROM edges),
+reach(s, t) AS (SELECT e1, e1 FROM links UNION SELECT r.s, l.e2 FROM reach r JOIN links l ON l.e1 = r.t)
 SELECT s AS entity, min(t) AS community FROM reach GROUP BY 1""",
 }
