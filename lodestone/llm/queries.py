@@ -112,20 +112,46 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
 FROM least_ids"""
 
-_OP3 = r"""
-WITH parsed AS (
-  SELECT page_id, coalesce(url, '') AS u, strpos(coalesce(url, ''), '://') AS p FROM pages),
-parts AS (
-  SELECT page_id, CASE WHEN p > 0 THEN substr(u, p + 3) ELSE '' END AS rest FROM parsed),
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TAGS = r"regexp_extract_all(html, '(?is)<{0}\b[^>]*\b{1}\s*=\s*[\x22\x27]?{2}\b[^>]*>')"
+_HREF = r"(?is)\bhref\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
+
+
+def _op3_sql() -> str:
+    """Rules by all hosts and paths; classes by reachability over links between canonical forms."""
+    rest = "substr(u, strpos(u, '://') + 3)"
+    host, path = _LOWER.format(f"regexp_extract({rest}, '^[^/?#]*')"), f"regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1)"
+    told = f"list_filter(string_split(regexp_extract({rest}, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{url_filter.TRACKING}'))"
+    scheme = "regexp_replace(" + _LOWER.format("substr(u, 1, strpos(u, '://') - 1)") + ", '^http$', 'https')"
+    form = f"""{scheme} || '://' || regexp_replace({host}, '{url_filter.ALIAS_HOSTS}', '') || regexp_replace({path}, '{url_filter.ALIAS_ENDS}', '')
+    || CASE WHEN len({told}) > 0 THEN '?' || array_to_string({told}, '&') ELSE '' END"""
+    rules = ", ".join(f"('{h}', '{p}', '{'allow' if ok else 'block'}')" for h, p, ok in URL_RULES)
+    canonical, refresh = _TAGS.format("link", "rel", "canonical"), _TAGS.format("meta", "http-equiv", "refresh")
+    return f"""
+WITH RECURSIVE tags AS (SELECT url, unnest({canonical}) AS tag FROM pages),
+links AS (
+  SELECT url, trim(regexp_extract(tag, '{_HREF}', 1) || regexp_extract(tag, '{_HREF}', 2) || regexp_extract(tag, '{_HREF}', 3)) AS link FROM tags
+  UNION ALL SELECT url, regexp_extract(unnest({refresh}), '(?is)\\burl\\s*=\\s*[\\x22\\x27]?([^\\x22\\x27>\\s]+)', 1) FROM pages),
+ends AS (
+  SELECT url AS a, CASE WHEN starts_with(link, '/') THEN regexp_extract(url, '^[^:]*://[^/?#]*') || link ELSE link END AS b
+  FROM links WHERE contains(link, '://') OR (starts_with(link, '/') AND NOT starts_with(link, '//'))),
+urls AS (SELECT url AS u FROM pages UNION SELECT a FROM ends UNION SELECT b FROM ends),
 named AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
-rules(h, p, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
-                         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+  SELECT u, CASE WHEN contains(u, '://') THEN {host} ELSE '' END AS host, CASE WHEN contains(u, '://') THEN {path} ELSE '' END AS path,
+         CASE WHEN contains(u, '://') THEN {form} END AS node FROM urls),
+rules(h, p, verdict) AS (VALUES {rules}),
 won AS (
-  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
-  FROM named, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM named LEFT JOIN won USING (page_id)"""
+  SELECT u, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+  FROM named, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u),
+edges AS (SELECT x.node AS s, y.node AS t FROM ends JOIN named x ON x.u = a JOIN named y ON y.u = b WHERE x.node IS NOT NULL AND y.node IS NOT NULL),
+both_ways AS (SELECT s, t FROM edges UNION SELECT t, s FROM edges),
+reach(s, t) AS (SELECT s, s FROM both_ways UNION SELECT r.s, e.t FROM reach r JOIN both_ways e ON e.s = r.t),
+classes AS (SELECT n.node, coalesce(min(t), n.node) AS class FROM (SELECT DISTINCT node FROM named WHERE node IS NOT NULL) n LEFT JOIN reach ON s = n.node GROUP BY n.node),
+blocked AS (SELECT class FROM named JOIN won USING (u) JOIN classes USING (node) GROUP BY class HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow'))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(verdict, CASE WHEN b.class IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN named ON named.u = url LEFT JOIN won ON won.u = url LEFT JOIN classes c ON c.node = named.node LEFT JOIN blocked b ON b.class = c.class"""
+
 
 _OP2 = r"""
 WITH lines AS (
@@ -149,7 +175,7 @@ FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _OP3, "op5_sharding": _op5_sql()}
+    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql()}
 
 
 def _op5_sql() -> str:

@@ -1,9 +1,10 @@
 """URL rules, and the spread of block decisions over redirects and canonical links.
 
 A rule is a host and the start of a path; the longest that fits a URL decides.  URLs that no
-rule fits follow their class: URLs joined by redirect or canonical-link edges, found as
-connected components.  A class with a blocked member blocks its undecided members, unless an
-explicit allow rule fits a member: allow has precedence.
+rule fits follow their class.  URLs of one canonical form are one node of a graph, so aliases by
+scheme, fragment, tracking parameter or ending need no edges; redirects, canonical links and
+refreshes are its edges, and a class is a connected component.  A class with a blocked member
+blocks its undecided members, unless an explicit allow rule fits a member: allow has precedence.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans import scratch
 from lodestone.plans.components import connected_components
+from lodestone.plans.size import small
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"
@@ -37,10 +39,19 @@ def path(url: Column) -> Column:
     return _part(url, 3)
 
 
+#: What does not tell resources apart: a host's first label, a query's parameters, a path's end.
+ALIAS_HOSTS, TRACKING, ALIAS_ENDS = r"^(?:www|m)\.", r"(?i)^(?:utm_[^=]*|ref|gclid|fbclid)(?:=|$)", r"(?:/|/?index\.html?|\.html?)$"
+
+
 def node(url: Column) -> Column:
-    """A URL as a node: no fragment, scheme and host lower-cased; null without ``://``."""
-    scheme = F.translate(_part(url, 1), _UPPER, _LOWER)
-    whole = F.concat(scheme, F.lit("://"), host(url), _part(url, 3), _part(url, 4))
+    """A URL's canonical form: https, the host without ``www.`` or ``m.``, the path without a
+    closing slash or ``.html``, the query without tracking parameters, no fragment; null
+    without ``://``."""
+    scheme = F.regexp_replace(F.translate(_part(url, 1), _UPPER, _LOWER), "^http$", "https")
+    place = F.regexp_replace(host(url), ALIAS_HOSTS, "")
+    told = F.filter(F.split(F.regexp_replace(_part(url, 4), r"^\?", ""), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    query = F.when(F.size(told) > 0, F.concat(F.lit("?"), F.array_join(told, "&"))).otherwise("")
+    whole = F.concat(scheme, F.lit("://"), place, F.regexp_replace(_part(url, 3), ALIAS_ENDS, ""), query)
     return F.when(F.instr(url, "://") > 0, whole)
 
 
@@ -77,14 +88,17 @@ def _resolved(base: Column, link: Column) -> Column:
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges ``(a, b)`` from a page to the first canonical link and the first meta refresh in it."""
+    """URLs ``(a, b)``: a page's, and that of each canonical link and each meta refresh in it.
+
+    Null URLs and pages link nowhere; tags without an address are left out.
+    """
     html, url = F.col(html_col), F.col(url_col)
-    some = pages.filter(html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b"))
-    href = F.regexp_extract(html, _LINK_TAG, 1)
-    href = F.concat(*(F.regexp_extract(href, _HREF, i) for i in (1, 2, 3)))
-    moved = F.regexp_extract(F.regexp_extract(html, _REFRESH_TAG, 1), _REFRESH_URL, 1)
-    edges = some.select(node(url).alias("a"), F.explode(F.array(href, moved)).alias("link"), url.alias("base"))
-    return edges.select("a", node(_resolved(F.col("base"), F.col("link"))).alias("b")).filter("a is not null and b is not null")
+    some = pages.filter(url.isNotNull() & html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b"))
+    tags = F.regexp_extract_all(html, F.lit(_LINK_TAG), F.lit(1))
+    hrefs = F.transform(tags, lambda t: F.concat(*(F.regexp_extract(t, _HREF, i) for i in (1, 2, 3))))
+    moved = F.transform(F.regexp_extract_all(html, F.lit(_REFRESH_TAG), F.lit(1)), lambda t: F.regexp_extract(t, _REFRESH_URL, 1))
+    edges = some.select(url.alias("a"), F.explode_outer(F.concat(hrefs, moved)).alias("link"))
+    return edges.select("a", _resolved(F.col("a"), F.col("link")).alias("b")).filter("b is not null")
 
 
 def judge(
@@ -98,24 +112,27 @@ def judge(
     """``(page_id, host, path, rule, verdict)`` for every page.
 
     ``rules`` are (host, path, allow); ``redirects`` may add edges ``(a, b)`` of URLs.  A URL
-    that is null or has no ``://`` has an empty host and path, no rule and no aliases, and is
+    that is null or has no ``://`` has an empty host and path, no rule and no class, and is
     allowed, as is every undecided URL whose class is not blocked.  URLs met only as the end
-    of an edge are judged by the rules too and count for their class.
+    of an edge are judged by the rules too and count for their class.  Repeated rows are judged
+    alike; an empty table gives none.
     """
     spark = pages.sparkSession
     table = spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, allow boolean")
-    url = F.col(url_col)
-    named = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), node(url).alias("node"))
-    edges = page_links(pages, url_col, html_col)
+    parts = lambda url: (host(url).alias("host"), path(url).alias("path"), node(url).alias("node"))
+    named = pages.select(F.col(id_col).alias("page_id"), *parts(F.col(url_col)))
+    ends = page_links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b")))
-    members = connected_components(edges)
-    members = members.withColumn("host", host(F.col("node"))).withColumn("path", path(F.col("node")))
-    ruled = members.join(match_rules(members, table), ["host", "path"])
-    classes = ruled.groupBy("component").agg(F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_block"))
-    blocked = scratch.written(
-        members.join(classes.filter("any_block and not any_allow"), "component", "left_semi").select("node", F.lit(True).alias("in_blocked"))
-    )
-    judged = named.join(match_rules(named, table), ["host", "path"], "left").join(blocked, "node", "left")
+        ends = ends.unionByName(redirects.select("a", "b"))
+    ends = scratch.written(ends.filter("instr(a, '://') > 0 and instr(b, '://') > 0"))
+    linked = small(connected_components(ends.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b"))))
+    met = ends.select(F.explode(F.array("a", "b")).alias("url")).select(*parts(F.col("url")))
+    members = named.filter("node is not null").select("host", "path", "node").unionByName(met).distinct()
+    ruled = members.join(match_rules(members, table), ["host", "path"]).join(linked, "node", "left")
+    classes = ruled.groupBy(F.coalesce("component", "node").alias("class"))
+    classes = classes.agg(F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_block"))
+    blocked = scratch.written(classes.filter("any_block and not any_allow").select("class", F.lit(True).alias("in_blocked")))
+    judged = named.join(match_rules(named, table), ["host", "path"], "left").join(linked, "node", "left")
+    judged = judged.withColumn("class", F.coalesce("component", "node")).join(small(blocked), "class", "left")
     allow = F.coalesce("allow", ~F.col("in_blocked"), F.lit(True))
     return judged.select("page_id", "host", "path", "rule", F.when(allow, "allow").otherwise("block").alias("verdict"))
