@@ -2,8 +2,9 @@
 
 Documents are tokenized once into a written table.  Document frequencies, the number of
 documents and their mean length cover the whole corpus and give BM25 its weights.  Documents
-are then range-partitioned by a min-hash of their token pairs, so that texts with much in
-common lie together, and each partition streams them through shards of bounded size.  A shard
+are then range-partitioned by a cluster of their ids and a min-hash of their pairs of ids, so
+that texts with much in common lie together, and each partition streams them through shards of
+bounded size.  Clusters are learned from a bounded sample and cover all documents.  A shard
 has an inverted index of its documents; the window of a seed document is filled with its best
 unused neighbours, the last one is cut where the window is full, and its rest is the next seed.
 A window that a shard leaves open goes on with the next shard, so only the last window of a
@@ -20,27 +21,29 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.llm import tokens
+from lodestone.llm import tokens, topics
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
 
 WINDOW, END_ID = 4096, 2
 #: A shard is closed at so many documents or tokens, whichever comes first.
-SHARD_DOCS, SHARD_TOKENS = 1024, 4_000_000
+SHARD_DOCS, SHARD_TOKENS, CLUSTERS = 4096, 4_000_000, 128
 K1, B = 1.2, 0.75
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def _route(ids: np.ndarray) -> int:
-    """The least hash of a document's pairs of neighbouring ids."""
+def _route(ids: np.ndarray, clusters: topics.Model) -> int:
+    """A document's cluster and, below it, the least hash of its pairs of neighbouring ids."""
     pairs = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:] if len(ids) > 1 else ids.astype(np.uint64)
     hashes = pairs * np.uint64(0x9E3779B97F4A7C15)
     hashes ^= hashes >> np.uint64(31)
-    return int((hashes * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(1))
+    least = int((hashes * np.uint64(0xBF58476D1CE4E5B9)).min() >> np.uint64(8))
+    return (clusters.number(ids) or 0) << 56 | least
 
 
-def _tokenized(path: str, end_id: int):
+def _tokenized(path: str, end_id: int, clusters: topics.Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
         end = np.array([end_id], encoder.dtype)
@@ -50,7 +53,7 @@ def _tokenized(path: str, end_id: int):
                 ids = np.concatenate((encoder.encode(text.as_py() or ""), end))
                 n.append(len(ids))
                 raw.append(ids.tobytes())
-                routes.append(_route(ids))
+                routes.append(_route(ids, clusters))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.array(routes, pa.int64())],
                 ["id", "n", "ids", "route"],
@@ -218,8 +221,9 @@ def pack(
     dtype = tokens.encoder(tokenizer).dtype
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    clusters = topics.fit(docs, tokenizer, CLUSTERS, id_col, text_col, None)
     table = scratch.written(
-        map_arrow(narrow, _tokenized(tokenizer, end_id), f"id {kind}, n bigint, ids binary, route bigint")
+        map_arrow(narrow, _tokenized(tokenizer, end_id, clusters), f"id {kind}, n bigint, ids binary, route bigint")
     )
     count, mean = table.agg(F.count("*"), F.avg("n")).first()
     found = map_arrow(table.select("ids"), _frequencies(dtype.str), "term bigint, docs bigint")
@@ -227,7 +231,7 @@ def pack(
     idf = np.zeros(max((r["term"] for r in found), default=0) + 1)
     for r in found:
         idf[r["term"]] = np.log1p((count - r["docs"] + 0.5) / (r["docs"] + 0.5))
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
     ordered = table.select("id", "ids", "route").repartitionByRange("route", "id")
     ordered = ordered.sortWithinPartitions("route", "id").select("id", "ids")
     return map_arrow(ordered, _packed(window, dtype.str, idf, mean or 1.0, id_type), f"doc_id {kind}, {PIECES}")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import judged
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
 
@@ -251,13 +252,17 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts in the holdout when its id is labelled.  Without labels only the base rule rejects.
     """
     counted = scratch.written(count_texts(docs, text_col, _named(id_col, stratum_col)))
-    judged = verdicts(counted, certify(counted, labels))
-    return judged.withColumnRenamed("__id", "doc_id").drop("__stratum")
+    told = verdicts(counted, certify(counted, labels))
+    return told.withColumnRenamed("__id", "doc_id").drop("__stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", certify: Callable = certified_cutoffs) -> DataFrame:
-    """The rows that :func:`judge` keeps, with all their columns."""
-    named = _named(id_col, stratum_col)
-    cutoffs = certify(scratch.written(count_texts(docs, text_col, named)), labels)
-    whole = count_texts(docs, text_col, [*named, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")])
-    return verdicts(whole, cutoffs).filter("kept").select("__row.*")
+    """The rows that :func:`judge` keeps, with all their columns, whatever those are called.
+
+    Null and empty texts go; rows that repeat stay or go together; an empty table stays empty.
+    """
+    keys = [F.col(id_col), F.col(stratum_col), judged.text_key(text_col)]
+    named = [F.col(id_col).alias("__id"), F.col(stratum_col).alias("__stratum"), keys[2].alias("__key")]
+    counted = scratch.written(count_texts(docs, text_col, named))
+    told = verdicts(counted, certify(counted, labels))
+    return judged.without(docs, told.filter("not kept").select("__id", "__stratum", "__key"), keys)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, url_filter, warc
+from lodestone.llm import embed_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, topics, url_filter, warc
 from lodestone.plans import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,7 @@ MIX = mixing.Plan(
     categories={
         "source": [f"src{i}" for i in range(20)],
         "lang": ["en", "fr", "de", "es"],
-        "topic": ["legal", "table", "contact", "general"],
+        "topic": topics.names(),
     },
     powers={"source": 0.7, "lang": 0.7, "topic": 0.8},
     share=0.5,
@@ -73,9 +73,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighed = mixing.weigh(_table(spark, sf_dir, "documents"), MIX)
+    docs = _table(spark, sf_dir, "documents")
+    weighed = mixing.weigh(docs, MIX, topics.fit(docs, tokenizer()))
     cell = [F.col(f"c_{d}").alias(d) for d in mixing.DIMENSIONS]
-    return weighed.select(F.col("id").alias("doc_id"), *cell, "n_tokens", "probability", "selected")
+    return weighed.select(F.col("id").alias("doc_id"), *cell, "n_tokens", "probability", F.col("gap").alias("marginal_gap"), "selected")
 
 
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Fingerprints of whole texts come from one Arrow pass.  Equal ones collapse to one node before
 anything else, so a text with thousands of copies is one row from there on.  Each node is filed
-under the keys of :func:`fingerprints.bucket_keys`.  Neighbours in a bucket are compared first;
-nodes that those links leave in different components are then compared inside a join, of which
-only pairs within the distance come out.  Components of all links give the groups.
+under the keys of :func:`fingerprints.bucket_keys`, which are range-partitioned and sorted, so
+that a bucket is a run of rows; all pairs of a run are compared where it lies, and those links
+that connect something new come out, fewer than the run has rows.  Runs that are very long, or
+that the edge of a partition may cut, are settled by :mod:`buckets`.  Components of all links
+give the groups.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from lodestone.plans.size import small
 
 #: The distance that the bucket keys are made for.
 MAX_BITS = 3
+#: Rows of a bucket whose pairs are all compared in its task; longer ones are split.
+LONG_RUN = 20_000
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,6 +48,67 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "node"])
 
 
+def _linked(keys: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int]]:
+    """A spanning forest of the close pairs within each run of equal keys."""
+    label, a, b = np.arange(len(keys)), [], []
+    for lag in range(1, len(keys)):
+        same = keys[lag:] == keys[:-lag]
+        if not same.any():
+            break
+        near = same & (label[lag:] != label[:-lag])
+        near &= np.bitwise_count((nodes[lag:] ^ nodes[:-lag]).view(np.uint64)) <= MAX_BITS
+        for i in np.flatnonzero(near).tolist():
+            x, y = int(label[i]), int(label[i + lag])
+            if x != y:
+                run = slice(*np.searchsorted(keys, [keys[i], keys[i] + 1]))
+                label[run][label[run] == y] = x
+                a.append(int(nodes[i]))
+                b.append(int(nodes[i + lag]))
+    return a, b
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, a, b): a close pair of a run, key null; or a row of a run that is not settled
+    here, b null."""
+
+    def made(keys: list, a: list, b: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], ["key", "a", "b"])
+
+    def left(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        return made(keys.tolist(), nodes.tolist(), [None] * len(keys))
+
+    keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unsettled = None  # a key whose rows are all left: the partition's first, or a long run's
+    for batch in batches:
+        if not len(batch):
+            continue
+        if unsettled is None:
+            unsettled = batch.column(0)[0].as_py()
+        keys = np.concatenate((keys, batch.column(0).to_numpy()))
+        nodes = np.concatenate((nodes, batch.column(1).to_numpy()))
+        if at := int(np.searchsorted(keys, unsettled, side="right")):
+            yield left(keys[:at], nodes[:at])
+            keys, nodes = keys[at:], nodes[at:]
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))  # the run that may go on
+        done, rest = (keys[:last], nodes[:last]), (keys[last:], nodes[last:])
+        starts = np.flatnonzero(np.r_[True, done[0][1:] != done[0][:-1]]) if last else np.zeros(0, np.int64)
+        sizes = np.diff(np.r_[starts, last])
+        long = np.repeat(sizes > LONG_RUN, sizes)
+        if long.any():
+            yield left(done[0][long], done[1][long])
+        a, b = _linked(done[0][~long], done[1][~long])
+        yield made([None] * len(a), a, b)
+        keys, nodes = rest
+        if len(keys) > LONG_RUN:
+            unsettled = int(keys[-1])
+            yield left(keys, nodes)
+            keys, nodes = keys[:0], nodes[:0]
+    if len(keys):
+        yield left(keys, nodes)
+
+
 def _close(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
@@ -52,10 +117,13 @@ def links(prints: DataFrame) -> DataFrame:
     """``(a, b)`` of different fingerprints within the distance, whose components are those of
     all such pairs; ``prints`` has each ``fp`` once.
 
-    Not every pair is listed: those inside a component that others connect may be left out.
+    Not every pair is listed: those inside a component that others connect are left out.
     """
-    rows = buckets.shared(map_arrow(prints.select("fp"), _keys, "key bigint, node bigint"), ["node"])
-    first = scratch.written(rows.filter(_close("node", "prev_node")).select(F.col("prev_node").alias("a"), F.col("node").alias("b")).distinct())
+    keyed = map_arrow(prints.select("fp"), _keys, "key bigint, node bigint")
+    dealt = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    found = scratch.written(map_arrow(dealt, _pairs, "key bigint, a bigint, b bigint"))
+    first = scratch.written(found.filter("key is null").select("a", "b").distinct())
+    rows = found.filter("key is not null").select("key", F.col("a").alias("node"))
     rest = buckets.open_pairs(rows, connected_components(first), _close("a.node", "b.node"))
     return first.unionByName(rest)
 
