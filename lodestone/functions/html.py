@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip, word_count
@@ -180,3 +182,37 @@ def best(extractions: Column) -> Column:
 def links(html: Column) -> Column:
     """The distinct targets of a page's anchors, in order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*\"([^\"]*)\""), F.lit(1)))
+
+
+#: Where a listing page has the links to its articles: a pattern of each place, the first that
+#: finds anything holds.
+LISTING_SELECTORS = (
+    r"(?is)<article\b[^>]*>(?:(?!</article>).)*?<h2\b[^>]*>\s*<a\b[^>]*\bhref\s*=\s*\"([^\"]+)\"",
+    r"(?is)class\s*=\s*\"[^\"]*\b(?:entry|post)-title\b[^\"]*\"[^>]*>\s*<a\b[^>]*\bhref\s*=\s*\"([^\"]+)\"",
+    r"(?is)<h2\b[^>]*>\s*<a\b[^>]*\bhref\s*=\s*\"([^\"]+)\"",
+)
+LAST_LISTING = 50
+
+
+def listing_links(html: Column, base: Column, selectors: Sequence[str] = LISTING_SELECTORS, index: str = "/blog/") -> Column:
+    """The distinct links to articles of a listing page: those of the first selector that finds
+    any, else all anchors below ``base`` that look like articles: deep enough and no index."""
+    body = F.coalesce(html, F.lit(""))
+    likely = lambda u: F.contains(u, base) & ~F.contains(u, F.lit(index)) & (F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit(""))) >= 4)
+    found = F.filter(links(body), likely)
+    for pattern in reversed(selectors):
+        here = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
+        found = F.when(F.size(here) > 0, here).otherwise(found)
+    return F.array_distinct(found)
+
+
+def listed(pages: DataFrame, selectors: Sequence[str] = LISTING_SELECTORS, last: int = LAST_LISTING) -> DataFrame:
+    """``(site, url)``: the distinct links of each site's listing pages ``(site, page, base, html)``
+    up to its first page without any, and no further than page ``last``.
+
+    A site's first empty page is found by an aggregation, so no site's pages are gathered.
+    """
+    each = pages.filter(F.col("page").between(1, last)).select("site", "page", listing_links(F.col("html"), F.col("base"), selectors).alias("urls"))
+    ends = each.filter(F.size("urls") == 0).groupBy("site").agg(F.min("page").alias("__end"))
+    read = each.join(ends, "site", "left").filter(F.col("__end").isNull() | (F.col("page") < F.col("__end")))
+    return read.select("site", F.explode("urls").alias("url")).distinct()

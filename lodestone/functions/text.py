@@ -169,6 +169,11 @@ def embedding_text(title: Column, before: Column, body: Column, after: Column) -
     return F.concat(F.lit("passage: "), F.concat_ws(" | ", *parts))
 
 
+def query_text(text: Column) -> Column:
+    """A question as the embedding model wants it."""
+    return F.concat(F.lit("query: "), strip(text_of(text)))
+
+
 def quoted(needle: str) -> str:
     """A literal as a regular expression."""
     return re.sub(r"([.\\+*?^$()\[\]{}|])", r"\\\1", needle)

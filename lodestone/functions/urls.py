@@ -81,6 +81,7 @@ def identifier(url: Column) -> Column:
         found = F.regexp_extract(url, pattern, 1)
         return F.when(F.contains(url, F.lit(part)) & (found != ""), F.concat(F.lit(name), F.replace(found, F.lit("/"), F.lit("_"))))
 
+    # Fixed values below: parts and patterns of the papers' URLs.
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     digest = F.pmod(F.conv(F.substring(F.md5(path), 1, 8), 16, 10).cast("bigint"), F.lit(10_000))
     return F.coalesce(
@@ -108,6 +109,7 @@ def extract_urls(text: Column, narrow: bool = False) -> Column:
 
 def pdf_link(url: Column, html: Column) -> Column:
     """The first link to a PDF in a page that is absolute or rooted, else the PMC address."""
+    # Where a page names its PDF.
     patterns = (r'(?i)href="([^"]+\.pdf[^"]*)"', r'(?i)href="([^"]+/pdf[^"]*)"', r'(?i)data-pdf-url="([^"]+)"', r'(?i)pdf-url="([^"]+)"')
     links = F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in patterns))
     usable = F.filter(links, lambda u: u.startswith("http") | u.startswith("/"))
@@ -118,3 +120,20 @@ def pdf_link(url: Column, html: Column) -> Column:
         F.when(first.startswith("/"), F.concat(top, first)).otherwise(first),
         F.when(F.contains(url, F.lit("pmc/articles")) & (pmc != ""), F.concat(F.lit("https://www.ncbi.nlm.nih.gov/pmc/articles/PMC"), pmc, F.lit("/pdf/"))),
     )
+
+
+# Fixed value: an answer that does not call itself a PDF is taken from so many bytes on.
+LEAST_ANSWER = 1000
+
+
+def accepts(content_type: Column, size: Column) -> Column:
+    """Whether an answer counts as a download: it calls itself a PDF, or is large enough."""
+    named = F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("pdf"))
+    return named | (F.coalesce(size, F.lit(0)) >= LEAST_ANSWER)
+
+
+def download_status(exists: Column, direct: Column, indirect: Column) -> Column:
+    """What became of a download: there before, taken from its URL, from a link that its page
+    has, or failed; unknown probes count as failed."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(exists), "already_exists").when(yes(direct), "success_direct").when(yes(indirect), "success_indirect").otherwise("failed")

@@ -2,43 +2,67 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import clean_text, let, section_headers, semantic_sentences, sentences, text_of, word_count
+from lodestone.plans.arrow import map_arrow
 
 CHUNK_WORDS, OVERLAP_WORDS, CONTEXT_WORDS, MIN_ARTICLE = 800, 200, 300, 100
 
-# Arrays are exploded by the outer variants here: for the others Spark infers a filter on the
-# array's size, pushes it below and so computes nested expressions again for each element.
-
-# One pass over a document's sentences.  __sums[i] is the number of words before sentence i; the
-# state is the first sentence of the open chunk and the (start, end) of closed ones.
-_FOLD = """
-aggregate(
-  sequence(0, size(__sents) - 1),
-  named_struct('st', 0, 'done', cast(array() as array<struct<s: int, e: int>>)),
-  (acc, i) -> CASE
-    WHEN i > acc.st AND get(__sums, i + 1) - get(__sums, acc.st) > {size}
-    THEN named_struct(
-      'st', CASE WHEN {overlap} > 0 AND i - acc.st > 1
-                 THEN coalesce(get(filter(sequence(acc.st, i), j -> get(__sums, i) - get(__sums, j) <= {overlap}), 0), i)
-                 ELSE i END,
-      'done', concat(acc.done, array(named_struct('s', acc.st, 'e', i))))
-    ELSE acc END,
-  acc -> concat(acc.done, array(named_struct('s', acc.st, 'e', size(__sents)))))
-"""
-_SUMS = """
-aggregate(transform(__sents, s -> size(filter(split(s, '(?U)\\\\s+'), w -> w <> ''))), array(0),
-          (acc, n) -> concat(acc, array(element_at(acc, -1) + n)))
-"""
-
-
-def _sentenced(articles: DataFrame, id_col: str, text_col: str, min_length: int) -> DataFrame:
-    text = text_of(text_col)
-    long = articles.filter(F.length(F.trim(text)) >= min_length)
-    named = long.select(F.col(id_col).alias("article_id"), section_headers(F.col(text_col)).alias("__headers"), sentences(clean_text(text)).alias("__sents"))
-    return named.filter(F.size("__sents") > 0).withColumn("__sums", F.expr(_SUMS))
+_CHUNK = """chunk_id int, text string, word_count int, chunk_position string, sentence_start_idx int, sentence_end_idx int,
+chunk_sentence_count int, total_sentences_in_article int, preceding_context string, following_context string, preceding_context_words int,
+following_context_words int, chunk_start_sentence string, chunk_end_sentence string, previous_chunk_id int, next_chunk_id int"""
+
+
+def fold(sums: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of sentences; ``sums`` has the words before each, and all."""
+    start, out = 0, []
+    for i in range(len(sums) - 1):
+        if i > start and sums[i + 1] - sums[start] > size:
+            out.append((start, i))
+            start = bisect_left(sums, sums[i] - overlap, start, i) if overlap > 0 and i - start > 1 else i
+    return [*out, (start, len(sums) - 1)]
+
+
+def _position(k: int, count: int, end: int, sentences: int) -> str:
+    if k == count - 1 == 0:
+        return "complete"
+    return "end" if k == count - 1 or end >= sentences - 2 else "beginning" if k == 0 else "middle"
+
+
+def _chunked(size: int, overlap: int, context: int):
+    """Rows (id, sentences, *carried) as rows of chunks: one pass over an article's sentences."""
+    names = [x.split()[0] for x in _CHUNK.replace("\n", " ").split(", ")] + ["at"]
+    kinds = [pa.string() if x.split()[1] == "string" else pa.int32() for x in _CHUNK.replace("\n", " ").split(", ")] + [pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for at, each in enumerate(batch.column(1)):
+                sents = each.as_py()
+                sums = [0, *accumulate(len([w for w in s.split(" ") if w]) for s in sents)]
+                chunks = fold(sums, size, overlap)
+                last = len(sents)
+                for k, (start, end) in enumerate(chunks):
+                    first = bisect_left(sums, sums[start] - context, 0, start)
+                    stop = bisect_right(sums, sums[end] + context, end) - 1
+                    rows.append((
+                        k, " ".join(sents[start:end]), sums[end] - sums[start], _position(k, len(chunks), end, last), start, end - 1, end - start, last,
+                        " ".join(sents[first:start]), " ".join(sents[end:stop]), sums[start] - sums[first], sums[stop] - sums[end],
+                        sents[start][:150] + "...", sents[end - 1][:150] + "...", k - 1 if k else None, k + 1 if k < len(chunks) - 1 else None, at,
+                    ))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            carried = [batch.column(i).take(made[-1]) for i in (0, *range(2, batch.num_columns))]
+            yield pa.RecordBatch.from_arrays([carried[0], *made[:-1], *carried[1:]], [batch.schema.names[0], *names[:-1], *batch.schema.names[2:]])
+
+    return run
 
 
 def fixed_chunks(
@@ -49,51 +73,24 @@ def fixed_chunks(
     id_col: str = "doc_id",
     text_col: str = "content",
     min_length: int = MIN_ARTICLE,
+    headers: bool = True,
 ) -> DataFrame:
     """Chunks of at most ``size`` words, where sentences allow it, each starting with the last
     sentences of the one before that have at most ``overlap`` words.
 
     A single longer sentence is a chunk of its own; a chunk may exceed the size by what it took
     over.  Contexts are the sentences next to a chunk with at most ``context`` words in all.
-    Articles without ``min_length`` characters or without sentences have no chunks.  Everything
-    happens inside an article's row: nothing is shuffled.
+    Articles without ``min_length`` characters or without sentences have no chunks.  Sentences
+    are split by built-in expressions and folded in one Arrow pass, linear in an article's
+    length; nothing is shuffled.  Section headers come with every chunk unless turned off.
     """
-    folded = _sentenced(articles, id_col, text_col, min_length).withColumn("__chunks", F.expr(_FOLD.format(size=size, overlap=overlap)))
-    each = folded.select("article_id", "__headers", "__sents", "__sums", F.size("__chunks").alias("__n"), F.posexplode_outer("__chunks").alias("chunk_id", "__c"))
-    start, end, last = F.col("__c.s"), F.col("__c.e"), F.size("__sents")
-    sums = lambda i: F.get("__sums", i)
-    joined = lambda a, b: F.array_join(F.slice("__sents", a + 1, b - a), " ")
-    before = F.filter(F.sequence(F.lit(0), start), lambda j: sums(start) - sums(j) <= context)
-    after = F.filter(F.sequence(end, last), lambda j: sums(j) - sums(end) <= context)
-    first, stop = F.get(before, F.lit(0)), F.element_at(after, -1)
-    closing = F.col("chunk_id") == F.col("__n") - 1
-    position = (
-        F.when(closing & (F.col("chunk_id") == 0), "complete")
-        .when(closing | (end >= last - 2), "end")
-        .when(F.col("chunk_id") == 0, "beginning")
-        .otherwise("middle")
-    )
-    cut = lambda sentence: F.concat(F.substring(sentence, 1, 150), F.lit("..."))
-    return each.select(
-        "article_id",
-        "chunk_id",
-        joined(start, end).alias("text"),
-        (sums(end) - sums(start)).alias("word_count"),
-        position.alias("chunk_position"),
-        start.alias("sentence_start_idx"),
-        (end - 1).alias("sentence_end_idx"),
-        (end - start).alias("chunk_sentence_count"),
-        last.alias("total_sentences_in_article"),
-        joined(first, start).alias("preceding_context"),
-        joined(end, stop).alias("following_context"),
-        (sums(start) - sums(first)).alias("preceding_context_words"),
-        (sums(stop) - sums(end)).alias("following_context_words"),
-        cut(F.get("__sents", start)).alias("chunk_start_sentence"),
-        cut(F.get("__sents", end - 1)).alias("chunk_end_sentence"),
-        F.col("__headers").alias("article_section_headers"),
-        F.when(F.col("chunk_id") > 0, F.col("chunk_id") - 1).alias("previous_chunk_id"),
-        F.when(~closing, F.col("chunk_id") + 1).alias("next_chunk_id"),
-    )
+    text = text_of(text_col)
+    long = articles.filter(F.length(F.trim(text)) >= min_length)
+    carried = [section_headers(F.col(text_col)).alias("article_section_headers")] if headers else []
+    named = long.select(F.col(id_col).alias("article_id"), sentences(clean_text(text)).alias("sents"), *carried)
+    kind = articles.schema[id_col].dataType.simpleString()
+    schema = f"article_id {kind}, {_CHUNK}" + (", article_section_headers array<string>" if headers else "")
+    return map_arrow(named.filter(F.size("sents") > 0), _chunked(size, overlap, context), schema)
 
 
 def chunk_key(article_id: Column, chunk_id: Column, articles: int = 1_000_000) -> Column:
@@ -115,11 +112,27 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 def hashed_vector(sentence: Column, dims: int = 16) -> Column:
     """A stand-in for an embedding: counts of a sentence's lower-cased words by hash bucket."""
     tokens = F.regexp_extract_all(F.lower(sentence), F.lit(r"(?U)\w+"), F.lit(0))
-    places = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    places = F.transform(tokens, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint"), F.lit(dims)).cast("int"))
     counts = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(at, lambda p: p == d)).cast("double"))
     return let(places, counts)
 
 
+def _encoded(load: Callable[[], Callable[[list[str]], list[list[float]]]]):
+    """Rows (sentences, ...) with their vectors; the model is loaded once for each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load()
+        for batch in batches:
+            flat = batch.column(0).flatten().to_pylist()
+            made = [[float(x) for x in v] for v in encode(flat)] if flat else []
+            sizes = [len(x) for x in batch.column(0)]
+            ends = list(accumulate(sizes))
+            vectors = [made[end - n : end] for n, end in zip(sizes, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.list_(pa.float64())))], [*batch.schema.names, "__vectors"])
+
+    return run
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
@@ -144,14 +157,22 @@ def percentile_of(values: Column, amount: float) -> Column:
     return a + (b - a) * (at - low)
 
 
-def sentence_distances(articles: DataFrame, buffer: int = 1, id_col: str = "doc_id", text_col: str = "content", embed=hashed_vector) -> DataFrame:
+def sentence_distances(articles: DataFrame, buffer: int = 1, id_col: str = "doc_id", text_col: str = "content", embed=hashed_vector, load=None) -> DataFrame:
     """``(article_id, sents, distances)``: cosine distances between the means of the ``buffer``
-    sentences before and from each inner sentence on."""
-    named = articles.select(F.col(id_col).alias("article_id"), text_of(text_col).alias("__raw"), semantic_sentences(F.col(text_col)).alias("sents"))
+    sentences before and from each inner sentence on.
+
+    ``load`` returns a model, a function of a list of sentences that gives their vectors; it runs
+    in Arrow batches.  Without one ``embed`` makes a vector by built-in expressions.
+    """
+    named = articles.select(semantic_sentences(F.col(text_col)).alias("sents"), F.col(id_col).alias("article_id"), text_of(text_col).alias("__raw"))
     n = F.size("sents")
     inner = F.when(n > 2 * buffer, F.sequence(F.lit(buffer), n - buffer - 1)).otherwise(F.array().cast("array<int>"))
     group = lambda i: _mean(F.slice("__vectors", i + 1, F.lit(buffer)))
-    out = named.withColumn("__vectors", F.transform("sents", lambda s: embed(s)))
+    if load is None:
+        out = named.withColumn("__vectors", F.transform("sents", lambda s: embed(s)))
+    else:
+        kind = articles.schema[id_col].dataType.simpleString()
+        out = map_arrow(named, _encoded(load), f"sents array<string>, article_id {kind}, __raw string, __vectors array<array<double>>")
     return out.withColumn("distances", F.transform(inner, lambda i: _distance(group(i - buffer), group(i)))).drop("__vectors")
 
 
@@ -197,6 +218,7 @@ def semantic_chunks(
     id_col: str = "doc_id",
     text_col: str = "content",
     embed=hashed_vector,
+    load=None,
 ) -> DataFrame:
     """``(article_id, chunk_id, text, word_count)``: groups of sentences between topic shifts,
     merged up to ``largest`` words.
@@ -204,7 +226,7 @@ def semantic_chunks(
     Chunks under ``smallest`` words stay unless ``keep_small`` is off, which loses their text.
     An article of too few sentences to compare is one chunk, whole.
     """
-    found = sentence_distances(articles, buffer, id_col, text_col, embed)
+    found = sentence_distances(articles, buffer, id_col, text_col, embed, load)
     some = F.size("distances") > 0
     limit = F.when(some, threshold(F.col("distances"), kind, amount))
     inner = F.sequence(F.lit(0), F.greatest(F.size("distances") - 1, F.lit(0)))

@@ -2,44 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import strip
 from lodestone.operators import packs
+from lodestone.plans.arrow import map_arrow
 from lodestone.plans.size import small
 
 
-#: So many terms are also looked for inside the text's row, before its runs become rows.
-FEW_TERMS = 1000
-
-
-def _spanned(n: int):
-    return lambda x, i: F.struct(i.alias("start"), (i + n).alias("end"), x.alias("text"))
-
-
 def lexicon_entities(texts: DataFrame, lexicon: DataFrame, longest: int = 3, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """``(id, text, label, start, end, confidence)``: runs of words that are lexicon terms,
     whatever their case; ``start`` and ``end`` are word numbers, half open.
 
-    ``lexicon`` has ``term`` and ``label``; terms are compared word by word.  The join is a hash
-    join on the run of words; the lexicon is broadcast behind a check of its size.
+    ``lexicon`` has ``term`` and ``label``; terms are compared word by word.  Each word comes
+    with the few after it; those that start a term are found by a hash join on the word, and
+    only their runs are compared with terms.  The lexicon is broadcast behind a check of its size.
+    """
+    split = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    each = texts.select(F.col(id_col).alias("id"), split(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
+    at = F.transform("w", lambda x, i: F.struct(i.alias("start"), F.slice("w", i + 1, F.lit(longest)).alias("run")))
+    words = each.select("id", F.explode_outer(at).alias("x")).filter("x is not null").select("id", "x.*")
+    terms = lexicon.select(F.array_join(split(F.lower("term")), " ").alias("term"), "label").distinct()
+    starts = terms.select(F.substring_index("term", " ", 1).alias("first")).distinct()
+    words = words.withColumn("first", F.lower(F.get("run", F.lit(0)))).join(small(starts), "first", "left_semi")
+    ends = F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.struct((F.col("start") + n).alias("end"), F.array_join(F.slice("run", F.lit(1), n), " ").alias("text")))
+    runs = words.select("id", "start", F.explode_outer(ends).alias("g")).select("id", "start", "g.*").withColumn("term", F.lower("text"))
+    return runs.join(small(terms), "term").select("id", "text", "label", "start", "end", F.lit(1.0).alias("confidence"))
+
+
+def _recognized(load: Callable[[], Callable[[list[str]], list[tuple[int, int, str]]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recognize = load()
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+        for batch in batches:
+            at, rows = [], []
+            for i, words in enumerate(batch.column(1).to_pylist()):
+                for start, end, label in recognize(words):
+                    at.append(i)
+                    rows.append((" ".join(words[start:end]), f"SPACY_{label}", start, end))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            ids = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "text", "label", "start", "end"])
+
+    return run
+
+
+def statistical_entities(texts: DataFrame, load: Callable, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """``(id, text, label, start, end, confidence)`` by a model: ``load`` returns it once for each
+    partition, a function of a text's words that gives (start, end, label) by word number.
+
+    Labels are prefixed and mentions less sure than rule-based ones; null texts have none.
     """
-    tokens = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
-    each = texts.select(F.col(id_col).alias("id"), tokens.alias("w"))
-    words = F.array_join(F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0)), " ")
-    terms = lexicon.select(words.alias("term"), "label").distinct()
-    few = [r["term"] for r in terms.select("term").limit(FEW_TERMS + 1).collect()]
-    may_match = (lambda g: F.lower(g["text"]).isin(few)) if 0 < len(few) <= FEW_TERMS else (lambda g: g["text"].isNotNull())
-    run, runs = F.col("w"), []
-    for n in range(1, longest + 1):
-        if n > 1:  # null, and so no term, past the last word
-            run = F.zip_with(run, F.slice("w", n, F.greatest(F.size("w"), F.lit(1))), lambda x, y: F.concat(x, F.lit(" "), y))
-        runs.append(F.filter(F.transform(run, _spanned(n)), may_match))
-    grams = each.select("id", F.explode_outer(F.concat(*runs)).alias("g")).filter("g.text is not null").select("id", "g.*").withColumn("term", F.lower("text"))
-    return grams.join(small(terms), "term").select("id", "text", "label", "start", "end", F.lit(1.0).alias("confidence"))
+    words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
+    kind = texts.schema[id_col].dataType.simpleString()
+    each = texts.select(F.col(id_col).alias("id"), words.alias("words"))
+    return map_arrow(each, _recognized(load), f"id {kind}, text string, label string, start int, end int").withColumn("confidence", F.lit(0.7))
 
 
 def regex_entities(texts: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -57,16 +78,21 @@ def without_overlaps(mentions: DataFrame, extra: Sequence[str] = ()) -> DataFram
     start and then the least label stays.
 
     ``extra`` columns, such as the part of a chunk that offsets count from, keep apart what must
-    not overlap.  One text's mentions meet in one place, as its words did.
+    not overlap.  Mentions are sorted by start and resolved within each run of overlapping ones,
+    which is short however long the text.
     """
     key = ["id", *extra]
     fields = [c for c in mentions.columns if c not in key]
+    by = ", ".join(f"`{c}`" for c in key)
+    before = F.expr(f"max(`end`) over (partition by {by} order by start, `end` rows between unbounded preceding and 1 preceding)")
+    numbered = mentions.withColumn("__new", (before.isNull() | (F.col("start") >= before)).cast("int"))
+    numbered = numbered.withColumn("__run", F.expr(f"sum(__new) over (partition by {by} order by start, `end` rows unbounded preceding)"))
     order = F.struct((F.col("start") - F.col("end")).alias("a"), F.col("start").alias("b"), F.col("label").alias("c"), F.struct(*fields).alias("m"))
-    grouped = mentions.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    grouped = numbered.groupBy(*key, "__run").agg(F.array_sort(F.collect_list(order)).alias("all"))
     empty = F.slice("all", 1, 0)
     clear = lambda kept, x: ~F.exists(kept, lambda k: (x["m"]["start"] < k["m"]["end"]) & (x["m"]["end"] > k["m"]["start"]))
     kept = F.aggregate("all", empty, lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return grouped.select(*key, F.explode(kept).alias("x")).select(*key, "x.m.*")
+    return grouped.select(*key, F.explode_outer(kept).alias("x")).select(*key, "x.m.*")
 
 
 def ner_antijoin(statistical: DataFrame, rules: DataFrame) -> DataFrame:
@@ -173,6 +199,13 @@ def type_stats(mentions: DataFrame, top: int = 10) -> DataFrame:
     return sums.join(best, "label")
 
 
+def kept_types(mentions: DataFrame, more_names: int = 5, more_mentions: int = 50) -> DataFrame:
+    """``(label, mentions, unique_names)`` of the types with enough of both to be node types."""
+    names = mentions.groupBy("label", F.lower("text").alias("name")).agg(F.count("*").alias("n"))
+    sums = names.groupBy("label").agg(F.sum("n").alias("mentions"), F.count("*").alias("unique_names"))
+    return sums.filter((F.col("unique_names") > more_names) & (F.col("mentions") > more_mentions))
+
+
 def stems(query: Column, table: Sequence[tuple[str, str]] = packs.QUERY_STEMS) -> Column:
     """Entities that the inflected words of a query ask for; letters only, in order."""
     found = F.create_map(*(F.lit(x) for pair in table for x in pair))

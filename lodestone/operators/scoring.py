@@ -255,15 +255,19 @@ def content_review(articles: DataFrame, pack: MarketingPack = SLOVAK_MARKETING,
     )
 
 
+#: Above these shares of marketing an article counts as high or medium.
+HIGH_MARKETING, MEDIUM_MARKETING = 0.5, 0.2
+
+
 def content_summary(reviewed: DataFrame) -> DataFrame:
     confidence = F.col("marketing.confidence")
     return reviewed.agg(
         F.count("*").alias("articles"),
         F.count_if("needs_cleaning").alias("needs_cleaning"),
         F.avg(F.col("needs_cleaning").cast("int")).alias("needs_cleaning_share"),
-        F.count_if(confidence > 0.7).alias("marketing_high"),
-        F.count_if((confidence > 0.3) & (confidence <= 0.7)).alias("marketing_medium"),
-        F.count_if(confidence <= 0.3).alias("marketing_low"),
+        F.count_if(confidence > HIGH_MARKETING).alias("marketing_high"),
+        F.count_if((confidence > MEDIUM_MARKETING) & (confidence <= HIGH_MARKETING)).alias("marketing_medium"),
+        F.count_if(confidence <= MEDIUM_MARKETING).alias("marketing_low"),
         F.avg("cleanliness").alias("avg_cleanliness"),
         *buckets(F.col("review.quality")),
     )

@@ -40,16 +40,28 @@ def jaccard(a: Column, b: Column, stop: Sequence[str] = STOP_WORDS) -> Column:
     return F.when((F.size(x) > 0) & (F.size(y) > 0), common / (F.size(x) + F.size(y) - common)).otherwise(0.0)
 
 
-def bag_cosine(pairs: DataFrame, key: str, a: str, b: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """``(key, cosine)`` of the word counts of two texts.  Words are counted by group, so texts
-    of any length are compared without an array of their vocabulary; keys must be unique."""
-    side = lambda c: pairs.select(F.col(key), F.explode(_meaning(F.col(c), stop)).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
-    x, y = side(a), side(b)
-    size = lambda df: df.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias("s"))
-    common = x.withColumnRenamed("n", "n1").join(y.withColumnRenamed("n", "n2"), [key, "w"]).groupBy(key).agg(F.sum(F.col("n1") * F.col("n2")).alias("d"))
-    sizes = size(x).withColumnRenamed("s", "s1").join(size(y).withColumnRenamed("s", "s2"), key)
-    joined = pairs.select(key).join(sizes, key, "left").join(common, key, "left")
-    return joined.select(key, F.coalesce(F.col("d") / F.sqrt(F.col("s1").cast("double") * F.col("s2")), F.lit(0.0)).alias("cosine"))
+def bags(pairs: DataFrame, key: str, a: str, b: str, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """``(key, cosine, overlap)`` of the words of two texts: the cosine of their counts and the
+    share of common words, zero where either has none.
+
+    Words of both texts are counted by group at once, so texts of any length are compared
+    without an array of their vocabulary; keys must be unique.
+    """
+    side = lambda c, first: pairs.select(F.col(key), F.explode(_meaning(F.col(c), stop)).alias("w"), F.lit(int(first)).alias("n1"), F.lit(int(not first)).alias("n2"))
+    counts = side(a, True).unionByName(side(b, False)).groupBy(key, "w").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"))
+    x, y = F.col("n1"), F.col("n2")
+    sums = counts.groupBy(key).agg(
+        F.sum(x * y).alias("dot"), F.sum(x * x).alias("s1"), F.sum(y * y).alias("s2"),
+        F.count_if((x > 0) & (y > 0)).alias("common"), F.count("*").alias("every"),
+    )
+    some = (F.col("s1") > 0) & (F.col("s2") > 0)
+    told = sums.select(
+        F.col(key),
+        F.when(some, F.col("dot") / F.sqrt(F.col("s1").cast("double") * F.col("s2"))).alias("cosine"),
+        F.when(some, F.col("common") / F.col("every")).alias("overlap"),
+    )
+    joined = pairs.select(key).join(told, key, "left")
+    return joined.select(key, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("cosine", "overlap")))
 
 
 def compare(pairs: DataFrame, key: str = "pair_id", stop: Sequence[str] = STOP_WORDS, titles: bool = True) -> DataFrame:
@@ -57,12 +69,11 @@ def compare(pairs: DataFrame, key: str = "pair_id", stop: Sequence[str] = STOP_W
     and, with ``titles``, title similarity.  Null texts count as empty; keys must be unique."""
     ship(pairs.sparkSession)
     a, b = text_of("text_a"), text_of("text_b")
-    cosines = bag_cosine(pairs, key, "text_a", "text_b", stop).withColumnRenamed("cosine", "similarity_score")
+    told = bags(pairs, key, "text_a", "text_b", stop).toDF(key, "similarity_score", "content_overlap")
     out = (
         pairs.withColumn("length_ratio", ratio(F.length(a), F.length(b)))
         .withColumn("word_count_ratio", ratio(word_count(a), word_count(b)))
-        .withColumn("content_overlap", jaccard(a, b, stop))
-        .join(cosines, key)
+        .join(told, key)
     )
     return out.withColumn("title_similarity", sequence_ratio(normalized(F.col("title_a")), normalized(F.col("title_b")))) if titles else out
 

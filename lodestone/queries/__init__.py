@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.queries import chunks, entities, graph, html, ops, retrieval, scoring, similarity, text
+from lodestone.queries import chunks, entities, graph, html, ops, reports, retrieval, scoring, similarity, text
 from lodestone.queries.common import Query
 
-FAMILIES = (text, html, scoring, chunks, entities, graph, similarity, retrieval, ops)
+FAMILIES = (text, html, scoring, chunks, entities, graph, similarity, retrieval, ops, reports)
 
 
 def queries() -> dict[str, Query]:

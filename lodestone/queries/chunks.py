@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunk as C
-from lodestone.queries.common import ARTICLES, WS, articles, count_sql, joined
-from lodestone.queries.text import HEADERS, SENTENCES
+from lodestone.queries.common import ARTICLES, WORD, articles, count_sql, joined
+from lodestone.queries.text import HEADERS, SEMANTIC, SENTENCES
 
 #: Sizes that suit the short test documents.
 SIZE, OVERLAP, CONTEXT = 60, 15, 30
 
 
-def chunks(spark, sf_dir):
-    return C.fixed_chunks(articles(spark, sf_dir), SIZE, OVERLAP, CONTEXT)
+def chunks(spark, sf_dir, headers=False):
+    return C.fixed_chunks(articles(spark, sf_dir), SIZE, OVERLAP, CONTEXT, headers=headers)
 
 
 def _long(df, *columns):
@@ -70,7 +70,7 @@ def semantic_breaks(spark, sf_dir):
 
 
 def chunk_headers(spark, sf_dir):
-    return chunks(spark, sf_dir).filter("chunk_id = 0").select("article_id", joined("article_section_headers"), "chunk_start_sentence", "chunk_end_sentence")
+    return chunks(spark, sf_dir, True).filter("chunk_id = 0").select("article_id", joined("article_section_headers"), "chunk_start_sentence", "chunk_end_sentence")
 
 
 QUERIES = {f.__name__: f for f in (chunk_fixed, chunk_context, chunk_adjacency, chunk_stats, chunk_metadata, chunk_semantic, semantic_breaks, chunk_headers)}
@@ -104,6 +104,23 @@ ctx AS (
     (SELECT max(x.i) FROM ends x WHERE x.doc_id = c.article_id AND x.i >= c.e0 AND x.p - e.p <= {CONTEXT}) AS l, b.p AS bp, e.p AS ep
   FROM chunks c JOIN ends b ON b.doc_id = c.article_id AND b.i = c.s0 JOIN ends e ON e.doc_id = c.article_id AND e.i = c.e0)"""
 _KEY = "article_id * 1000000 + chunk_id"
+_BUCKETS = f"list_transform(regexp_extract_all(lower(s), '{WORD}+'), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 16)"
+#: Vectors of sentences, distances of neighbours but for the first and the last, and a percentile.
+SEMANTICS = f"""ms AS (SELECT doc_id, coalesce(content, '') AS raw, {SEMANTIC.replace("coalesce(text, '')", "coalesce(content, '')")} AS ss FROM articles),
+mb AS (SELECT *, list_transform(ss, lambda s: {_BUCKETS}) AS bs FROM ms),
+mv AS (SELECT *, list_transform(bs, lambda b: list_transform(range(16), lambda d: len(list_filter(b, lambda x: x = d))::DOUBLE)) AS vs FROM mb),
+md AS (SELECT *, list_transform(range(1, greatest(len(ss) - 1, 1)), lambda i: CASE WHEN list_inner_product(vs[i], vs[i]) * list_inner_product(vs[i + 1], vs[i + 1]) > 0
+  THEN 1 - list_inner_product(vs[i], vs[i + 1]) / sqrt(list_inner_product(vs[i], vs[i]) * list_inner_product(vs[i + 1], vs[i + 1])) ELSE 1.0 END::DOUBLE) AS ds FROM mv)"""
+
+
+def _percentile(values: str, amount: float) -> str:
+    o, at = f"list_sort({values})", f"((len({values}) - 1) * ({amount}::DOUBLE / 100.0::DOUBLE))"
+    low, high = f"{o}[floor({at})::BIGINT + 1]", f"{o}[least(floor({at})::BIGINT + 1, len({values}) - 1) + 1]"
+    return f"({low} + ({high} - {low}) * ({at} - floor({at})))"
+
+
+_MEAN = "(list_sum(ds) / len(ds))"
+_SLOPES = "list_transform(range(len(ds)), lambda i: abs((ds[least(i + 1, len(ds) - 1) + 1] - ds[greatest(i - 1, 0) + 1]) / (least(i + 1, len(ds) - 1) - greatest(i - 1, 0))))"
 
 SQL = {
     "chunk_fixed": f"{WITH_CHUNKS} SELECT article_id, chunk_id, text, word_count, chunk_position, s0 AS sentence_start_idx, e0 - 1 AS sentence_end_idx FROM chunks",
@@ -116,6 +133,25 @@ SELECT article_id, chunk_id, {_KEY} AS chunk_key, CASE WHEN chunk_id > 0 THEN ch
     "chunk_headers": f"""{WITH_CHUNKS}
 SELECT article_id, {HEADERS.replace('text', 'content')} AS article_section_headers, substr(ss[s0 + 1], 1, 150) || '...' AS chunk_start_sentence, substr(ss[e0], 1, 150) || '...' AS chunk_end_sentence
 FROM chunks JOIN articles ON doc_id = article_id WHERE chunk_id = 0""",
+    "semantic_breaks": f"""WITH {ARTICLES}, {SEMANTICS}
+SELECT doc_id AS article_id, len(ds) AS n, round({_percentile('ds', 85.0)}, 6) AS percentile, round({_MEAN} + sqrt(list_sum(list_transform(ds, lambda x: (x - {_MEAN}) * (x - {_MEAN}))) / len(ds)), 6) AS standard_deviation,
+  round(CASE WHEN len(ds) > 1 THEN {_percentile(_SLOPES, 85.0)} ELSE 0 END, 6) AS gradient FROM md WHERE len(ss) > 2""",
+    "chunk_semantic": f"""WITH RECURSIVE {ARTICLES}, {SEMANTICS}, ml AS (SELECT *, {_percentile('ds', 80.0)} AS lim FROM md WHERE len(ss) > 2),
+mc AS (SELECT doc_id, ss, list_concat([0], list_filter(range(1, len(ds) + 1), lambda i: ds[i] > lim)) AS st FROM ml),
+mg AS (SELECT doc_id, ss, st, list_transform(range(len(st)), lambda k: list_sum(list_transform(ss[st[k + 1] + 1 : coalesce(st[k + 2], len(ss))], lambda x: {count_sql('x')}))::BIGINT) AS sz FROM mc),
+mf(doc_id, k, s, n, cs, ce) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, sz[1], NULL::BIGINT, NULL::BIGINT FROM mg
+  UNION ALL
+  SELECT f.doc_id, f.k + 1, CASE WHEN f.n > 0 AND f.n + sz[f.k + 2] > {SIZE} THEN st[f.k + 2] ELSE f.s END, CASE WHEN f.n > 0 AND f.n + sz[f.k + 2] > {SIZE} THEN sz[f.k + 2] ELSE f.n + sz[f.k + 2] END,
+    CASE WHEN f.n > 0 AND f.n + sz[f.k + 2] > {SIZE} THEN f.s END, CASE WHEN f.n > 0 AND f.n + sz[f.k + 2] > {SIZE} THEN st[f.k + 2] END
+  FROM mf f JOIN mg USING (doc_id) WHERE f.k + 1 < len(st)),
+mp AS (
+  SELECT doc_id, cs AS s, ce AS e FROM mf WHERE cs IS NOT NULL
+  UNION ALL SELECT f.doc_id, f.s, len(ss) FROM mf f JOIN mg USING (doc_id) WHERE f.k = len(st) - 1),
+mt AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS chunk_id, array_to_string(ss[s + 1 : e], ' ') AS text FROM mp JOIN mg USING (doc_id)
+  UNION ALL SELECT doc_id, 0, raw FROM md WHERE len(ss) <= 2)
+SELECT doc_id AS article_id, chunk_id, text, {count_sql('text')} AS word_count FROM mt""",
     "chunk_metadata": f"""{WITH_CHUNKS}, {_CONTEXT}
 SELECT 'chunk_' || ({_KEY}) AS id, coalesce(url, '') AS source_url, coalesce(title, '') AS source_title, coalesce(date, '') AS source_date, substr(array_to_string(x.ss[f + 1 : x.s0], ' '), 1, 200) AS preceding,
   CASE WHEN chunk_id > 0 THEN chunk_id - 1 ELSE -1 END AS previous, CASE WHEN chunk_id < nc - 1 THEN chunk_id + 1 ELSE -1 END AS next

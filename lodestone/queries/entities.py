@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import chunk as C
 from lodestone.operators import entities as E
+from lodestone.operators import packs
+from lodestone.operators import reports as R
 from lodestone.queries.chunks import WITH_CHUNKS, chunks
-from lodestone.queries.common import LEXICON_SQL, WORD, articles, joined, lexicon, rounded, table
+from lodestone.queries.common import LEXICON_SQL, NOT_WORD, WORD, WS, articles, joined, lexicon, rounded, strip_sql, table
 
 COMMON = ("and", "und", "et", "des", "der")
 STEMS = (("clowns", "clown"), ("idiots", "idiot"), ("licenses", "license"), ("licensed", "license"), ("copyrighted", "copyright"))
@@ -25,7 +27,7 @@ def found(spark, sf_dir, column="text"):
 def mentions(spark, sf_dir):
     """Filtered mentions without overlaps: article_id, chunk_id, text, label, confidence."""
     kept = E.entity_filter(E.without_overlaps(found(spark, sf_dir)), COMMON)
-    return kept.select(F.floor(F.col("id") / 1_000_000).alias("article_id"), F.col("id").alias("chunk_id"), "text", "label", "start", "end", "confidence")
+    return kept.select(F.expr("id div 1000000").alias("article_id"), F.col("id").alias("chunk_id"), "text", "label", "start", "end", "confidence")
 
 
 def lexicon_entities(spark, sf_dir):
@@ -42,12 +44,17 @@ def overlap_resolution(spark, sf_dir):
     return m.select(F.col("id").alias("chunk_id"), "text", "label", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
-def _named(spark, sf_dir):
+def _capitals():
     """Capitalised words as a stand-in for a statistical model's mentions."""
-    w = F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0))
-    each = keyed_chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), F.posexplode(w).alias("start", "text"))
-    capital = F.col("text").rlike(r"(?U)^\p{Lu}")
-    return each.filter(capital).select("id", "text", F.lit("SPACY_MISC").alias("label"), "start", (F.col("start") + 1).alias("end"), F.lit(0.7).alias("confidence"))
+    return lambda words: [(i, i + 1, "MISC") for i, w in enumerate(words) if w[0].isupper()]
+
+
+def _named(spark, sf_dir):
+    return E.statistical_entities(keyed_chunks(spark, sf_dir), _capitals)
+
+
+def statistical_entities(spark, sf_dir):
+    return _named(spark, sf_dir).groupBy("label", "text").agg(F.count("*").alias("n"))
 
 
 def ner_antijoin(spark, sf_dir):
@@ -85,10 +92,15 @@ def entity_type_stats(spark, sf_dir):
     return t.select("label", "mentions", "unique_names", joined("top_names"))
 
 
+def entity_top_texts(spark, sf_dir):
+    """The twenty names met most: a report of a fixed length."""
+    return R.top_texts(mentions(spark, sf_dir))
+
+
 def entity_type_kept(spark, sf_dir):
-    """Types with enough mentions and names to be worth a node type."""
-    t = E.type_stats(mentions(spark, sf_dir))
-    return t.filter("unique_names > 1 and mentions > 50").select("label", "mentions", "unique_names")
+    """Types with enough mentions and names to be worth a node type, a model's among them."""
+    both = mentions(spark, sf_dir).select("label", "text").unionByName(_named(spark, sf_dir).select("label", "text"))
+    return E.kept_types(both)
 
 
 def chunk_entities(spark, sf_dir):
@@ -122,7 +134,7 @@ def query_entities(spark, sf_dir):
     return E.query_entities(q, lexicon(spark), STEMS).select(F.col("id").alias("item_id"), "entity")
 
 
-QUERIES = {f.__name__: f for f in (lexicon_entities, regex_entities, overlap_resolution, ner_antijoin, entity_filter, entity_normalize, entity_merge, entity_stats, entity_type_counts, entity_type_stats, entity_type_kept, chunk_entities, context_entities, article_diversity, stem_lookup, query_entities)}
+QUERIES = {f.__name__: f for f in (lexicon_entities, regex_entities, overlap_resolution, statistical_entities, ner_antijoin, entity_filter, entity_normalize, entity_merge, entity_stats, entity_type_counts, entity_type_stats, entity_top_texts, entity_type_kept, chunk_entities, context_entities, article_diversity, stem_lookup, query_entities)}
 
 
 def found_sql(name: str, rows: str, text: str = "text") -> str:
@@ -141,6 +153,17 @@ KEYED = f"""{WITH_CHUNKS}, {LEXICON_SQL}, kc AS (SELECT article_id, article_id *
 MENTIONS = f"""{KEYED}, {clear_sql('fe')}, mentions AS (SELECT chunk_id // 1000000 AS article_id, chunk_id, text, label, start, "end", 1.0::DOUBLE AS confidence FROM fe_clear WHERE lower(text) NOT IN ({_QUOTED}))"""
 _NAMED = f"""nw AS (SELECT chunk_id, regexp_extract_all(text, '{WORD}+') AS w FROM kc),
 nn AS (SELECT chunk_id, unnest(range(len(w))) AS start, unnest(w) AS text FROM nw), named AS (SELECT * FROM nn WHERE regexp_matches(text, '^\\p{{Lu}}'))"""
+_BY_PATTERN = " UNION ALL ".join(
+    f"SELECT chunk_id, unnest(regexp_extract_all(text, '(?i)(?:^|{NOT_WORD})([0-9]+(?:[.,][0-9]+)?{WS}*(?:{p[p.index('(?:', 12) + 3 : -3]}))(?:$|{NOT_WORD})', 1)) AS text, 'MEASUREMENT' AS label, 0.9::DOUBLE AS confidence FROM kc"
+    for p in packs.MEASUREMENTS
+)
+#: A formula has word characters only and so is a whole word.
+_PATTERNS = f"""fw AS (SELECT chunk_id, unnest(regexp_extract_all(text, '{WORD}+')) AS text FROM kc),
+patterned AS (
+  SELECT chunk_id, text, 'CHEMICAL_FORMULA' AS label, 0.8::DOUBLE AS confidence FROM fw
+  WHERE regexp_full_match(text, '[A-Z][a-z]?[0-9]*(?:[A-Z][a-z]?[0-9]*)*') AND length(text) > 1 AND lower(text) NOT IN ({', '.join(f"'{x}'" for x in packs.FORMULA_STOP)})
+  UNION ALL {_BY_PATTERN})"""
+_ABBREVIATED, _GENERIC = (", ".join(f"'{x}'" for x in xs) for xs in ([a for a in packs.ABBREVIATIONS if a == a.upper()], packs.GENERIC_FORMULAS))
 _CTX = f"""sent AS (SELECT doc_id, ss FROM sl),
 ends AS (SELECT doc_id, n AS i, sum(w) AS p FROM sp GROUP BY doc_id, n UNION ALL SELECT doc_id, i, p FROM sp),
 fc AS (SELECT c.article_id * 1000000 + c.chunk_id AS chunk_id, array_to_string(ss[e0 + 1 : (SELECT max(x.i) FROM ends x WHERE x.doc_id = c.article_id AND x.i >= c.e0 AND x.p - e.p <= 30)], ' ') AS text
@@ -165,7 +188,16 @@ SELECT name AS normalized_name, max(text) FILTER (k = 1) AS name, max(label) FIL
     "entity_type_stats": f"""{MENTIONS}, n AS (SELECT label, lower(text) AS name, count(*) AS n FROM mentions GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, name) AS k FROM n)
 SELECT label, sum(n)::BIGINT AS mentions, count(*) AS unique_names, string_agg(name, '|' ORDER BY k) FILTER (k <= 10) AS top_names FROM r GROUP BY 1""",
-    "entity_type_kept": f"{MENTIONS} SELECT label, count(*) AS mentions, count(DISTINCT lower(text)) AS unique_names FROM mentions GROUP BY 1 HAVING count(*) > 50 AND count(DISTINCT lower(text)) > 1",
+    "entity_top_texts": f"{MENTIONS} SELECT lower(text) AS name, count(*) AS mentions FROM mentions GROUP BY 1 ORDER BY mentions DESC, name LIMIT 20",
+    "statistical_entities": f"{KEYED}, {_NAMED} SELECT 'SPACY_MISC' AS label, text, count(*) AS n FROM named GROUP BY text",
+    "entity_type_kept": f"""{MENTIONS}, {_NAMED}, u AS (SELECT label, text FROM mentions UNION ALL SELECT 'SPACY_MISC', text FROM named)
+SELECT label, count(*) AS mentions, count(DISTINCT lower(text)) AS unique_names FROM u GROUP BY 1 HAVING count(*) > 50 AND count(DISTINCT lower(text)) > 5""",
+    "regex_entities": f"{KEYED}, {_PATTERNS} SELECT * FROM patterned",
+    "entity_filter": f"""{KEYED}, {_PATTERNS}, u AS (SELECT text, label FROM fe UNION ALL SELECT text, label FROM patterned)
+SELECT label, lower(text) AS text, count(*) AS n FROM u
+WHERE NOT (label = 'CHEMICAL_FORMULA' AND length(text) <= 2) AND {strip_sql('lower(text)')} NOT IN ({_QUOTED})
+  AND NOT (length({strip_sql('text')}) <= 2 AND upper({strip_sql('text')}) NOT IN ({_ABBREVIATED})) AND NOT regexp_matches({strip_sql('text')}, '^(?:[0-9]+|[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]+)$')
+  AND NOT (label = 'CHEMICAL_FORMULA' AND length({strip_sql('text')}) <= 3 AND lower({strip_sql('text')}) IN ({_GENERIC})) GROUP BY 1, 2""",
     "chunk_entities": f"""{KEYED}, {_CTX}, {found_sql('fx', 'fc')}, {clear_sql('fe')}, {clear_sql('fx')},
 u AS (SELECT chunk_id, 'text' AS part, label FROM fe_clear UNION ALL SELECT chunk_id, 'context', label FROM fx_clear)
 SELECT chunk_id, part, count(*) AS mentions, count(DISTINCT label) AS labels FROM u GROUP BY 1, 2""",

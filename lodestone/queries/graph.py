@@ -31,6 +31,12 @@ def _asked(spark):
     return spark.createDataFrame([(a,) for a in ASKED], "entity string")
 
 
+def graph_tables(spark, sf_dir):
+    """The nodes and edges of the entity graph."""
+    m = _mentions(spark, sf_dir)
+    return _nodes(m), G.cooccurrence(m)
+
+
 def entity_nodes(spark, sf_dir):
     n = _nodes(_mentions(spark, sf_dir))
     return n.select("normalized_name", "name", "label", "mention_count", "chunk_count")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import html as H
 from lodestone.functions import urls as U
+from lodestone.operators import reports as R
 from lodestone.queries.common import WS, count_sql, strip_sql, table
 
 BASE = "https://base.example"
@@ -82,6 +83,43 @@ def url_source(spark, sf_dir):
     return _papers(spark, sf_dir).select("page_id", U.source(F.col("url")).alias("source"), U.failure_kind(F.col("url")).alias("failure_kind"))
 
 
+def _with_links(spark, sf_dir):
+    """Papers with their pages, of which every third has a link to a PDF added."""
+    p = _pages(spark, sf_dir).select("page_id", "html").join(_papers(spark, sf_dir), "page_id")
+    link = F.concat(F.lit('<a href="/files/'), F.col("page_id").cast("string"), F.lit('.pdf">PDF</a>'))
+    return p.withColumn("html", F.when(F.pmod("page_id", F.lit(3)) == 0, F.concat(F.col("html"), link)).otherwise(F.col("html")))
+
+
+def pdf_link(spark, sf_dir):
+    return _with_links(spark, sf_dir).select("page_id", U.pdf_link(F.col("url"), F.col("html")).alias("pdf_url"))
+
+
+def download_status(spark, sf_dir):
+    """What became of each paper's download, by fixed rules for what is there and what answers."""
+    p = _with_links(spark, sf_dir)
+    i = lambda n: F.pmod("page_id", F.lit(n))
+    taken = U.accepts(F.when(i(4) == 0, "application/PDF").otherwise("text/html"), F.octet_length("html") - 5000)
+    found = U.pdf_link(F.col("url"), F.col("html")).isNotNull() & (i(2) == 0)
+    return p.select("page_id", taken.alias("accepted"), U.download_status(i(5) == 0, taken & (i(7) != 3), found).alias("status"))
+
+
+def source_advice(spark, sf_dir):
+    """What to do about the sources of failed downloads."""
+    failed = download_status(spark, sf_dir).filter("status = 'failed'").join(_papers(spark, sf_dir), "page_id")
+    return R.advice(failed.select(U.source(F.col("url")).alias("source")))
+
+
+def listing_pages(spark, sf_dir):
+    """Links of listing pages: seven sites, pages with a title link, a deep anchor, or none."""
+    i, top = F.col("page_id"), F.regexp_extract("url", r"^[^:]+://[^/?#]*", 0)
+    head = F.when(F.pmod(i, F.lit(11)) == 10, "").when(F.pmod(i, F.lit(2)) == 0, F.concat(F.lit('<h3 class="big entry-title"><a href="'), F.col("url"), F.lit('">x</a></h3>')))
+    head = head.otherwise(F.concat(F.lit('<a href="'), top, F.lit('/a/b/c">x</a>')))
+    p = _pages(spark, sf_dir).select(
+        F.pmod(i, F.lit(7)).alias("site"), (F.expr("page_id div 7") + 1).alias("page"), top.alias("base"), F.concat(head, F.coalesce("html", F.lit(""))).alias("html")
+    )
+    return H.listed(p)
+
+
 def source_domains(spark, sf_dir):
     p = _pages(spark, sf_dir).select(U.authority(F.col("url")).alias("domain"), U.category(F.col("url")).alias("category"))
     return p.groupBy("domain", "category").agg(F.count("*").alias("pages"))
@@ -109,7 +147,7 @@ def ref_urls(spark, sf_dir):
     return each.select("page_id", "url", U.category(F.col("url")).alias("category"))
 
 
-QUERIES = {f.__name__: f for f in (html_extract, html_excerpt, html_dom_features, html_js_detect, html_multi_strategy, html_best_extraction, links_extract, url_normalize, url_category, url_identifier, url_source, source_domains, source_success, new_urls, ref_urls)}
+QUERIES = {f.__name__: f for f in (html_extract, html_excerpt, html_dom_features, html_js_detect, html_multi_strategy, html_best_extraction, links_extract, url_normalize, url_category, url_identifier, url_source, pdf_link, download_status, source_advice, listing_pages, source_domains, source_success, new_urls, ref_urls)}
 
 
 def _element(x: str, tag: str) -> str:
@@ -150,7 +188,27 @@ _PAPERS = """papers AS (
     WHEN 2 THEN 'https://doi.org/10.1000/' || page_id WHEN 3 THEN 'https://www.nature.com/articles/s' || page_id WHEN 4 THEN 'https://link.springer.com/article/' || page_id ELSE url END AS url FROM pages)"""
 _FAILURE = "CASE WHEN " + " OR ".join(f"contains(url, '{p}')" for p in U.PAYWALLED) + " THEN 'paywall' WHEN " + " OR ".join(f"contains(url, '{p}')" for p in U.NO_PDF) + " THEN 'format' ELSE 'other' END"
 
+_TOP = "regexp_extract(url, '^[^:]+://[^/?#]*')"
+_PDF_URL = f"""CASE WHEN page_id % 3 = 0 THEN regexp_extract({{url}}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/files/' || page_id || '.pdf'
+  WHEN page_id % 6 = 1 THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || page_id || '/pdf/' END"""
+_PAPER = """CASE page_id % 6 WHEN 0 THEN 'https://www.ncbi.nlm.nih.gov/pubmed/' || page_id WHEN 1 THEN 'https://www.ncbi.nlm.nih.gov/pmc/articles/PMC' || page_id || '/'
+  WHEN 2 THEN 'https://doi.org/10.1000/' || page_id WHEN 3 THEN 'https://www.nature.com/articles/s' || page_id WHEN 4 THEN 'https://link.springer.com/article/' || page_id ELSE url END"""
+_DOWNLOADS = f"""dp AS (SELECT page_id, {_PAPER} AS url, octet_length(encode(html)) + CASE WHEN page_id % 3 = 0 THEN length('<a href="/files/' || page_id || '.pdf">PDF</a>') ELSE 0 END AS size FROM pages),
+da AS (SELECT *, page_id % 4 = 0 OR size - 5000 >= 1000 AS accepted, {_PDF_URL.format(url='url')} AS pdf_url FROM dp),
+downloads AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN 'already_exists' WHEN accepted AND page_id % 7 <> 3 THEN 'success_direct' WHEN pdf_url IS NOT NULL AND page_id % 2 = 0 THEN 'success_indirect' ELSE 'failed' END AS status FROM da)"""
+_FAILED = "(SELECT count(*) FROM downloads WHERE status = 'failed' AND ({}))"
+_LISTED = f"""SELECT page_id % 7 AS site, page_id // 7 + 1 AS page, page_id % 11 = 10 AS empty, CASE WHEN page_id % 2 = 0 THEN url ELSE {_TOP} || '/a/b/c' END AS url FROM pages"""
+
 SQL = {
+    "pdf_link": f"WITH {_DOWNLOADS} SELECT page_id, pdf_url FROM da",
+    "download_status": f"WITH {_DOWNLOADS} SELECT page_id, accepted, status FROM downloads",
+    "source_advice": f"""WITH {_DOWNLOADS}, a AS (SELECT list_filter([
+  CASE WHEN {_FAILED.format("contains(url, 'nature.com') OR contains(url, 'springer.com')")} > 0 THEN 'institutional_access' END,
+  CASE WHEN {_FAILED.format("contains(url, 'sciencedaily.com') OR contains(url, 'meddeviceonline.com')")} > 0 THEN 'scrape_as_html' END,
+  CASE WHEN {_FAILED.format("contains(url, 'ncbi.nlm.nih.gov/pubmed')")} > 0 THEN 'abstracts_only' END], lambda x: x IS NOT NULL) AS a)
+SELECT unnest(CASE WHEN len(a) > 0 THEN a ELSE ['review_failures'] END) AS advice FROM a""",
+    "listing_pages": f"""WITH l AS ({_LISTED}), e AS (SELECT site, min(page) AS stop FROM l WHERE empty AND page <= 50 GROUP BY 1)
+SELECT DISTINCT l.site, url FROM l LEFT JOIN e ON e.site = l.site WHERE page <= 50 AND (stop IS NULL OR page < stop)""",
     "html_extract": f"SELECT page_id, {_TITLE} AS title, CASE WHEN length({_ARTICLE}) > 100 THEN {_ARTICLE} ELSE '' END AS content, CAST(NULL AS VARCHAR) AS date FROM pages",
     "html_excerpt": f"SELECT page_id, substr({_text(r'''regexp_extract(html, '(?is)<p\b[^>]*>(.*?)(?:</p\s*>|<p\b|$)', 1)''')}, 1, 200) AS excerpt FROM pages",
     "html_dom_features": r"""

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import word_count
+from lodestone.functions.urls import authority
 from lodestone.plans import scratch
 from lodestone.sources import readers, writers
 from lodestone.streaming import intake
 from lodestone.queries.common import ARTICLES, articles, count_sql, table
+from lodestone.queries.entities import MENTIONS
+from lodestone.queries.graph import EDGES, NODES, graph_tables
 
 
 def source_union(spark, sf_dir):
@@ -38,11 +41,27 @@ def snapshot_round_trip(spark, sf_dir):
 
 
 def upsert(spark, sf_dir):
-    """Documents of even ids as known ones, all of the hot half again in capitals."""
+    """All documents as known ones; every third again with another length, and all once more
+    under ids of their own."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").cast("bigint").alias("n"))
-    known = d.filter("doc_id % 2 = 0")
-    new = d.filter("doc_id % 3 = 0").withColumn("n", F.lit(-1).cast("bigint"))
-    return writers.upserted(known, new, "doc_id").groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("n") < 0).alias("replaced"))
+    again = d.filter("doc_id % 3 = 0").withColumn("n", F.lit(-1).cast("bigint"))
+    new = again.unionByName(d.withColumn("doc_id", -F.col("doc_id") - 1))
+    return writers.upserted(d, new, "doc_id").groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("n") < 0).alias("replaced"))
+
+
+def uniqueness(spark, sf_dir):
+    """Hosts of pages that several pages have: where a constraint on them would be broken."""
+    p = table(spark, sf_dir, "pages").select(authority(F.col("url")).alias("host"))
+    return writers.duplicates(p, "host")
+
+
+def graph_round_trip(spark, sf_dir):
+    """Nodes and edges written as a graph and read back: numbers and sums by type."""
+    path = scratch.folder(spark)
+    writers.write_graph(*graph_tables(spark, sf_dir), path)
+    nodes, edges = readers.graph(spark, path)
+    by_label = nodes.groupBy(F.concat(F.lit("node "), "label").alias("kind")).agg(F.count("*").alias("rows"), F.sum("mention_count").cast("bigint").alias("total"))
+    return by_label.unionByName(edges.agg(F.lit("edge").alias("kind"), F.count("*").alias("rows"), F.sum("strength").cast("bigint").alias("total")).select("kind", "rows", "total"))
 
 
 def usage_report(spark, sf_dir):
@@ -69,7 +88,7 @@ def user_sessions(spark, sf_dir):
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("longest"))
 
 
-QUERIES = {f.__name__: f for f in (source_union, scan_articles, snapshot_round_trip, upsert, usage_report, usage_stream, user_sessions)}
+QUERIES = {f.__name__: f for f in (source_union, scan_articles, snapshot_round_trip, upsert, uniqueness, graph_round_trip, usage_report, usage_stream, user_sessions)}
 _USAGE = "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2"
 SQL = {
     "source_union": f"""WITH {ARTICLES}
@@ -77,7 +96,10 @@ SELECT 'blog' AS source_type, count(*) AS rows, count(url) AS with_url, sum({cou
 UNION ALL SELECT 'web', count(*), count(url), sum({count_sql('html')})::BIGINT FROM pages UNION ALL SELECT 'forum', count(*), 0, sum({count_sql('text')})::BIGINT FROM conversations""",
     "scan_articles": f"WITH {ARTICLES} SELECT url, title, length(content) AS chars, CAST(substr(date, 1, 4) AS BIGINT) AS year FROM articles",
     "snapshot_round_trip": f"WITH {ARTICLES} SELECT source, count(*) AS articles, sum(word_count)::BIGINT AS words FROM articles GROUP BY 1",
-    "upsert": "SELECT source, count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS replaced FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1",
+    "upsert": "SELECT source, 2 * count(*) AS rows, count(*) FILTER (doc_id % 3 = 0) AS replaced FROM documents GROUP BY 1",
+    "uniqueness": r"SELECT host, count(*) AS n FROM (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages) GROUP BY 1 HAVING count(*) > 1",
+    "graph_round_trip": f"""{MENTIONS}, {NODES}, {EDGES}
+SELECT 'node ' || label AS kind, count(*) AS rows, sum(mention_count)::BIGINT AS total FROM nodes GROUP BY label UNION ALL SELECT 'edge', count(*), sum(strength)::BIGINT FROM edges""",
     "usage_report": _USAGE,
     "usage_stream": _USAGE,
     "user_sessions": """

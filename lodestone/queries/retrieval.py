@@ -9,8 +9,9 @@ from lodestone.operators import entities as E
 from lodestone.operators import graph as G
 from lodestone.operators import retrieval as R
 from lodestone.operators import vector as V
+from lodestone.operators.packs import DEFAULT_ANSWER
 from lodestone.plans import scratch
-from lodestone.queries.common import ARTICLES, LEXICON_SQL, articles, lexicon, table
+from lodestone.queries.common import ARTICLES, LEXICON_SQL, any_sql, articles, lexicon, strip_sql, table
 from lodestone.queries.entities import STEMS, clear_sql, found_sql
 
 K = 5
@@ -41,12 +42,13 @@ def _content(spark, sf_dir):
 
 
 def _parts(spark, sf_dir):
+    """What the steps of a search read, each part written once."""
     content = _content(spark, sf_dir)
     edges = scratch.written(G.cooccurrence(content))
-    asked = E.query_entities(_queries(spark, sf_dir), lexicon(spark), STEMS).withColumnRenamed("id", "query_id")
+    asked = scratch.written(E.query_entities(_queries(spark, sf_dir), lexicon(spark), STEMS).withColumnRenamed("id", "query_id"))
     nodes = G.entity_nodes(content, forms=(), preferred=())
-    context = G.entity_context(asked, nodes, edges)
-    near = G.neighborhood(asked, edges, top=50)
+    context = scratch.written(G.entity_context(asked, nodes, edges))
+    near = scratch.written(G.neighborhood(asked, edges, top=50))
     e = table(spark, sf_dir, "embeddings")
     q = _queries(spark, sf_dir).join(e, F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("query_vec"))
     hits = V.top_k(q, e, 2 * K).select("query_id", F.col("vec_id").alias("chunk_id"), "similarity")
@@ -128,7 +130,35 @@ fused AS (SELECT *, CASE WHEN graph_relevance > 0.8 THEN 0.6 * similarity + 0.4
 results AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY round(combined, 9) DESC, chunk_id) AS rank FROM fused f JOIN documents ON doc_id = chunk_id
   WHERE combined > 0.3 AND similarity > 0.2 AND length(trim(text)) > 50) WHERE rank <= {K})"""
 
+_NODES = """cm AS (SELECT regexp_replace(entity, '^(?:a|the|na|v|o|do|pre|pri|od|za) +', '') AS name, text, label FROM content),
+ct0 AS (SELECT name, text, label, count(*) AS n FROM cm GROUP BY 1, 2, 3), ct AS (SELECT *, sum(n) OVER (PARTITION BY name, text) AS times FROM ct0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY times * 10 + 5
+  + CASE WHEN upper(text) = text AND lower(text) <> text AND length(text) <= 5 THEN 50 WHEN length(text) > 1 AND upper(text[1]) = text[1] AND lower(text[1]) <> text[1] AND lower(text[2:]) = text[2:] THEN 20 ELSE 0 END DESC, text, label) AS k FROM ct),
+cn AS (SELECT name AS normalized_name, max(text) FILTER (k = 1) AS best, max(label) FILTER (k = 1) AS label, sum(n)::BIGINT AS mention_count FROM cr GROUP BY cr.name),
+kn AS (SELECT DISTINCT entity, best AS name, label, mention_count FROM asked JOIN cn ON entity = lower(best) OR entity = normalized_name),
+qf AS (SELECT entity, min(query_id) AS query_id FROM asked GROUP BY 1),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, chunk_id) AS rank FROM hits),
+sf AS (SELECT entity, count(*) FILTER (rank <= 3) AS samples, array_to_string(list_sort(list_distinct(list(title))), '|') AS titles FROM qf JOIN hr USING (query_id) JOIN articles ON doc_id = chunk_id WHERE rank <= 5 GROUP BY 1)"""
+_BLANKS = r"[ \t\n\x0B\f\r]+"
+_CAPITAL = "upper(s[1]) || s[2:]"
+_ANSWERS = f"""best AS (SELECT r.query_id, r.rank, r.similarity, a.content AS text, a.title FROM results r JOIN articles a ON a.doc_id = r.chunk_id),
+also AS (SELECT query_id, string_agg(title || ': ' || CASE WHEN contains(substr(text, 1, 150), '.') THEN split_part(substr(text, 1, 150), '.', 1) || '.' ELSE substr(text, 1, 150) END, '|' ORDER BY rank) AS supporting
+  FROM best WHERE rank BETWEEN 2 AND 3 AND similarity > 0.4 GROUP BY 1),
+top AS (SELECT * FROM best WHERE rank = 1 AND similarity >= 0.3),
+said AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_BLANKS}', '\\1' || chr(1), 'g'), chr(1))[1:8], lambda s: {strip_sql('s')}),
+  lambda s: length(s) > 40 AND length(s) < 300 AND NOT {any_sql('lower(s)', SKIPPED)}) AS ps,
+  list_filter(list_transform(string_split(text, '. '), lambda s: lower({strip_sql('s')})), lambda s: {any_sql('s', TIPS)} AND length(s) > 20 AND length(s) < 150) AS ts FROM top),
+told AS (SELECT *, CASE WHEN len(ps) > 0 THEN list_transform(list_transform(ps, lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END), lambda s: {_CAPITAL})[1:3]
+  ELSE [CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END] END AS points FROM said)"""
+_OPENING = "CASE " + " ".join(f"WHEN contains(lower(b.text), '{w}') THEN '{t}'" for w, t in TOPICS) + f" ELSE '{DEFAULT_ANSWER}' END"
+
 SQL = {
+    "entity_summary": f"{_PARTS}, {_NODES} SELECT entity, name, label, mention_count, samples, titles FROM kn LEFT JOIN sf USING (entity)",
+    "answer_extract": f"""{_PARTS}, {_ANSWERS}
+SELECT b.item_id AS query_id, CASE WHEN t.query_id IS NOT NULL THEN 'answered' WHEN b.item_id IN (SELECT query_id FROM best) THEN 'low' ELSE 'none' END AS status,
+  CASE WHEN t.query_id IS NOT NULL THEN {_OPENING} END AS opening, array_to_string(points, '|') AS points, CASE WHEN t.query_id IS NOT NULL THEN coalesce(supporting, '') END AS supporting,
+  array_to_string(list_transform(ts, lambda s: {_CAPITAL} || CASE WHEN ends_with(s, '.') THEN '' ELSE '.' END)[1:2], '|') AS tips, t.title AS source, round(t.similarity, 6) AS similarity
+FROM benchmark b LEFT JOIN told t ON t.query_id = b.item_id LEFT JOIN also ON also.query_id = b.item_id""",
     "vector_topk": f"""
 WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS rank FROM s)

@@ -209,8 +209,8 @@ SELECT CASE WHEN name IN ('extremely_short', 'paywall') THEN 'critical' WHEN nam
     "paywall_exact": f"WITH {ARTICLES} SELECT CASE WHEN coalesce(content, '') = '' THEN 'failed' WHEN contains(content, '{PAYWALL.exact}') THEN 'paywalled' ELSE 'free' END AS status, count(*) AS articles FROM articles GROUP BY 1",
     "marketing_score": f"WITH {ARTICLES}, s AS (SELECT doc_id, content, {_marketing('lower(content)')} AS score FROM articles) SELECT doc_id, score, round(least(score::DOUBLE / greatest({count_sql('content')} / 100.0, 1), 1), 6) AS confidence FROM s",
     "content_quality": f"WITH {ARTICLES}, {CONTENT} SELECT doc_id, round(quality, 6) AS quality, array_to_string(issues, '|') AS issues, needs_cleaning, round(cleanliness, 6) AS cleanliness FROM content_reviewed",
-    "content_summary": f"""WITH {ARTICLES}, {CONTENT} SELECT count(*) AS articles, count(*) FILTER (needs_cleaning) AS needs_cleaning, round(avg(needs_cleaning::INT), 6) AS needs_cleaning_share, count(*) FILTER (confidence > 0.7) AS marketing_high,
-  count(*) FILTER (confidence > 0.3 AND confidence <= 0.7) AS marketing_medium, count(*) FILTER (confidence <= 0.3) AS marketing_low, round(avg(cleanliness), 6) AS avg_cleanliness, {_BUCKETS.format(x='round(quality, 9)')} FROM content_reviewed""",
+    "content_summary": f"""WITH {ARTICLES}, {CONTENT} SELECT count(*) AS articles, count(*) FILTER (needs_cleaning) AS needs_cleaning, round(avg(needs_cleaning::INT), 6) AS needs_cleaning_share, count(*) FILTER (confidence > 0.5) AS marketing_high,
+  count(*) FILTER (confidence > 0.2 AND confidence <= 0.5) AS marketing_medium, count(*) FILTER (confidence <= 0.2) AS marketing_low, round(avg(cleanliness), 6) AS avg_cleanliness, {_BUCKETS.format(x='round(quality, 9)')} FROM content_reviewed""",
     "corpus_stats": f"""WITH {ARTICLES}, {_QUARTILES} SELECT count(*) AS articles, sum(word_count)::BIGINT AS total_words, round(avg(word_count), 6) AS mean, round(median(word_count::DOUBLE), 6) AS median, round(stddev_samp(word_count), 6) AS stdev,
   min(word_count) AS min, max(word_count) AS max, round((SELECT v FROM qs WHERE q = 1), 6) AS q1, round((SELECT v FROM qs WHERE q = 3), 6) AS q3 FROM articles""",
     "short_articles": f"WITH {ARTICLES}, {_QUARTILES} SELECT doc_id, word_count FROM articles WHERE word_count < greatest(50, (SELECT v FROM qs WHERE q = 1) * 0.3) OR length(content) < 200",

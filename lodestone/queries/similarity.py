@@ -1,5 +1,5 @@
 """Queries that compare documents with another version of them: the benchmark text whose number
-is the document's id modulo forty."""
+is the document's id modulo the number of those texts."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ def _pairs(spark, sf_dir):
     a = articles(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("text_b"))
     other = items.withColumn("title_b", F.substring("text_b", 1, 40))
-    return a.withColumn("item_id", F.pmod("doc_id", F.lit(40))).join(other, "item_id").select(F.col("doc_id").alias("pair_id"), F.col("content").alias("text_a"), "text_b", F.col("title").alias("title_a"), "title_b")
+    return a.withColumn("item_id", F.pmod("doc_id", F.lit(items.count()))).join(other, "item_id").select(F.col("doc_id").alias("pair_id"), F.col("content").alias("text_a"), "text_b", F.col("title").alias("title_a"), "title_b")
 
 
 def doc_pair_similarity(spark, sf_dir):
@@ -58,7 +58,7 @@ def _norm(x: str) -> str:
     return words_sql(f"lower(regexp_replace({x}, '{NOT_WORD}', ' ', 'g'))")
 
 
-_PAIRS = f"""{ARTICLES}, pairs AS (SELECT doc_id AS pair_id, content AS a, text AS b, title AS ta, substr(text, 1, 40) AS tb FROM articles JOIN benchmark ON item_id = doc_id % 40)"""
+_PAIRS = f"""{ARTICLES}, pairs AS (SELECT doc_id AS pair_id, content AS a, text AS b, title AS ta, substr(text, 1, 40) AS tb FROM articles JOIN benchmark ON item_id = doc_id % (SELECT count(*) FROM benchmark))"""
 _RATIO = "CASE WHEN {a} > 0 AND {b} > 0 THEN least({a}, {b})::DOUBLE / greatest({a}, {b}) WHEN {a} = 0 AND {b} = 0 THEN 1 ELSE 0 END"
 _COMPARED = f"""w AS (SELECT pair_id, a, b, ta, tb, list_filter({_norm('a')}, lambda x: x NOT IN ({_STOP})) AS wa, list_filter({_norm('b')}, lambda x: x NOT IN ({_STOP})) AS wb FROM pairs),
 ca AS (SELECT pair_id, u AS x, count(*) AS n FROM (SELECT pair_id, unnest(wa) AS u FROM w) GROUP BY 1, 2),

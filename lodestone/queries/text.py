@@ -73,6 +73,10 @@ def semantic_sentences(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(T.semantic_sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
+def query_text(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", T.query_text(F.col("text")).alias("query"))
+
+
 def safe_filename(spark, sf_dir):
     return articles(spark, sf_dir).select("doc_id", T.safe_filename(F.col("title")).alias("filename"))
 
@@ -81,7 +85,7 @@ def jaccard_excerpt(spark, sf_dir):
     """Overlap of each article with the benchmark text of its id modulo their number."""
     a = articles(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "other")
-    return a.withColumn("item_id", F.pmod("doc_id", F.lit(40))).join(items, "item_id").select("doc_id", F.round(jaccard(F.col("content"), F.col("other"), ()), 6).alias("overlap"))
+    return a.withColumn("item_id", F.pmod("doc_id", F.lit(items.count()))).join(items, "item_id").select("doc_id", F.round(jaccard(F.col("content"), F.col("other"), ()), 6).alias("overlap"))
 
 
 def top_words(spark, sf_dir):
@@ -93,12 +97,12 @@ def top_words(spark, sf_dir):
 
 def top_phrases(spark, sf_dir):
     """The thirty most frequent phrases: a report of a fixed length."""
-    found = F.explode_outer(T.phrases(F.col("text"), MARKETING.function_words, 3, 4)).alias("phrase")
+    found = F.explode_outer(T.phrases(F.col("text"), MARKETING.function_words)).alias("phrase")
     counts = _docs(spark, sf_dir).select(found).filter("phrase is not null").groupBy("phrase").agg(F.count("*").alias("n"))
     return counts.orderBy(F.desc("n"), "phrase").limit(30)
 
 
-QUERIES = {f.__name__: f for f in (word_counts, text_stats, clean_text, sentences, section_headers, clean_article, cleaning_stats, marker_score, pdf_clean, embedding_text, semantic_sentences, safe_filename, jaccard_excerpt, top_words, top_phrases)}
+QUERIES = {f.__name__: f for f in (word_counts, text_stats, clean_text, sentences, section_headers, clean_article, cleaning_stats, marker_score, pdf_clean, embedding_text, semantic_sentences, query_text, safe_filename, jaccard_excerpt, top_words, top_phrases)}
 
 _UPPER = "A-ZÁÄČĎÉÍĹĽŇÓÔŔŠŤÚÝŽ"
 CLEAN_TEXT = strip_sql(
@@ -133,6 +137,11 @@ cleaned AS (
 _HEADING = f"""length(l) > 0 AND length(l) < 100 AND ((upper(l) = l AND lower(l) <> l)
   OR (ends_with(l, ':') AND strpos(l, ':') = length(l)) OR starts_with(l, '#') OR {count_sql('l')} <= 8)"""
 HEADERS = f"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip_sql('x')}), lambda l: {_HEADING})[1:5], '|')"
+_FLAT = strip_sql(f"regexp_replace(coalesce(text, ''), '{WS}+', ' ', 'g')")
+#: RE2 looks neither ahead nor behind: what a split must keep is kept by a mark after or before it.
+_FINE = rf"string_split(regexp_replace({_FLAT}, '[.!?]+ ([{_UPPER}0-9])', chr(1) || '\1', 'g'), chr(1))"
+_PLAIN = f"string_split(replace({_FLAT}, '. ', '.' || chr(1)), chr(1))"
+SEMANTIC = f"list_filter(list_transform(CASE WHEN len({_FINE}) > 1 THEN {_FINE} ELSE {_PLAIN} END, lambda s: {strip_sql('s')}), lambda s: length(s) > 10)"
 _LETTERS = f"list_sum(list_transform({words_sql('text')}, lambda w: length(w)))"
 
 
@@ -167,6 +176,8 @@ SELECT count(*) AS articles, sum({_counted(0)} + {_counted(1)})::BIGINT AS remov
 WITH {ARTICLES}
 SELECT doc_id, 'passage: ' || concat_ws(' | ', CASE WHEN title <> '' THEN 'Title: ' || title END,
   CASE WHEN length({strip_sql('excerpt')}) > 20 THEN 'Context before: ' || substr({strip_sql('excerpt')}, 1, 150) END, 'Content: ' || content) AS passage FROM articles""",
+    "semantic_sentences": f"SELECT doc_id, len({SEMANTIC}) AS sentences FROM documents",
+    "query_text": f"SELECT item_id, 'query: ' || {strip_sql('text')} AS query FROM benchmark",
     "pdf_clean": rf"""
 SELECT doc_id, {strip_sql(rf"regexp_replace(regexp_replace(regexp_replace(text, '{WS}+', ' ', 'g'), '[^{WORD[1:-1]} .,;:!?()\[\]{{}}/\\\x22''-]', ' ', 'g'), '(^|{NOT_WORD})[0-9]+{WS}*$', '\1')")} AS cleaned FROM documents""",
     "safe_filename": rf"""
@@ -174,12 +185,12 @@ WITH {ARTICLES}
 SELECT doc_id, substr(replace({strip_sql("regexp_replace(title, '[^\\p{L}\\p{N} _-]', '', 'g')")}, ' ', '_'), 1, 50) AS filename FROM articles""",
     "jaccard_excerpt": f"""
 WITH t AS (SELECT doc_id, list_distinct({words_sql(f"lower(regexp_replace(d.text, '{NOT_WORD}', ' ', 'g'))")}) AS a, list_distinct({words_sql(f"lower(regexp_replace(b.text, '{NOT_WORD}', ' ', 'g'))")}) AS b
-  FROM documents d JOIN benchmark b ON item_id = doc_id % 40)
+  FROM documents d JOIN benchmark b ON item_id = doc_id % (SELECT count(*) FROM benchmark))
 SELECT doc_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END, 6) AS overlap FROM t""",
     "top_phrases": f"""
 WITH s AS (SELECT unnest(string_split_regex(lower(text), '[.!?]+')) AS s FROM documents),
 w AS (SELECT list_filter(regexp_extract_all(s, '{WORD}+'), lambda x: length(x) >= 3) AS w FROM s),
-g AS (SELECT w, n.n AS n, unnest(range(len(w) - n.n + 1)) AS i FROM w, (VALUES (3), (4)) n(n) WHERE len(w) >= n.n),
+g AS (SELECT w, n.n AS n, unnest(range(len(w) - n.n + 1)) AS i FROM w, (VALUES (3), (4), (5), (6), (7), (8)) n(n) WHERE len(w) >= n.n),
 p AS (SELECT w[i + 1 : i + n] AS p FROM g)
 SELECT array_to_string(p, ' ') AS phrase, count(*) AS n FROM p
 WHERE len(list_filter(p, lambda x: length(x) > 3 AND x NOT IN ({', '.join(f"'{x}'" for x in MARKETING.function_words)}))) > 0

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lodestone.functions.text import pdf_clean, word_count
+from lodestone.plans.arrow import ship
+from lodestone.sources import pdf
 
 ARTICLE = "url string, title string, content string, date string, excerpt string, scraped_at string, word_count int"
 CLEANED = ARTICLE + ", source_file string, cleaned_word_count int, cleaning_metadata struct<cleaned_at: string, original_word_count: int, cleaned_word_count: int, reduction_percentage: double>"
@@ -70,23 +74,53 @@ def pdf_id(filename: Column) -> Column:
     return F.when(kind != "", F.struct(kind.alias("kind"), value.alias("value")))
 
 
+_PDF = StructType([StructField("page_count", IntegerType()), *(StructField(x, StringType()) for x in (*pdf.INFO, "text", "error"))])
+
+
+@F.pandas_udf(_PDF)
+def _read_pdf(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data in content:
+        try:
+            found = pdf.read(bytes(data) if data is not None else b"")
+            rows.append((found.pages, *(found.info.get(x) for x in pdf.INFO), found.text, None))
+        except ValueError as problem:
+            rows.append((None, *(None for _ in pdf.INFO), None, str(problem)))
+    return pd.DataFrame(rows, columns=_PDF.names)
+
+
 def pdfs(spark: SparkSession, path: str, extract=None) -> DataFrame:
-    """Files with ``is_pdf`` by their first bytes, identifier and cleaned text.
+    """Files with ``is_pdf`` by their first bytes, identifier, page count, document information,
+    what kept them from being read, and cleaned text.
 
-    No PDF library comes with Spark: ``extract``, a function of a binary column, reads real
-    ones; what is text under the name of a PDF is taken as it is if it is long enough.
+    :mod:`pdf` reads plain files; ``extract``, a function of a binary column, may give the text
+    of others.  What is text under the name of a PDF is taken as it is if it is long enough.
     """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     plain = F.try_validate_utf8(F.col("content").cast("string"))
-    text = extract(F.col("content")) if extract else F.lit(None).cast("string")
     is_pdf = F.substring(F.col("content"), 1, 5) == F.lit(b"%PDF-")
-    body = F.when(is_pdf, text).when(F.length(plain) > 100, plain)
-    cleaned = pdf_clean(body)
-    return files.select(
-        name.alias("filename"), F.col("length").alias("file_size"), is_pdf.alias("is_pdf"), pdf_id(name).alias("identifier"),
-        F.when(body.isNotNull(), cleaned).alias("content"),
-    ).withColumn("word_count", word_count(F.col("content")))
+    read = files.withColumn("is_pdf", is_pdf).withColumn("p", _read_pdf("content"))
+    text = extract(F.col("content")) if extract else F.col("p.text")
+    body = F.when(F.col("is_pdf"), text).when(F.length(plain) > 100, plain)
+    told = read.select(
+        name.alias("filename"), F.col("length").alias("file_size"), "is_pdf", pdf_id(name).alias("identifier"), "p.page_count",
+        *(f"p.{x}" for x in pdf.INFO), "p.error", F.when(body.isNotNull(), pdf_clean(body)).alias("content"),
+    )
+    return told.withColumn("word_count", word_count(F.col("content"))).withColumn("char_count", F.coalesce(F.length("content"), F.lit(0)))
+
+
+def lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """``(term, label)`` of JSON files that map each label to its terms; blank terms are left out."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, array<string>>").alias("m"))
+    each = rows.select(F.explode("m").alias("label", "terms")).select(F.explode("terms").alias("term"), "label")
+    return each.filter(F.trim("term") != "").distinct()
+
+
+def graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges that :func:`writers.write_graph` wrote."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
 
 
 def union_sources(sources: Mapping[str, DataFrame]) -> DataFrame:

@@ -7,7 +7,7 @@ import json
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _POINTER, _METADATA = "CURRENT", "metadata.json"
@@ -96,3 +96,25 @@ def write_article_files(articles: DataFrame, path: str, by: str = "source_type")
 
 def write_text_list(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.col(column).cast("string")).filter(F.col(column).isNotNull()).write.mode("overwrite").text(path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, parts: int = 16) -> None:
+    """Node and edge tables, nodes sorted by name and edges by their first end for pruning.
+
+    Names of nodes must be unique: raises if :func:`duplicates` finds one that is not.
+    """
+    if not duplicates(nodes, "name").isEmpty():
+        raise ValueError("names of nodes are not unique")
+    nodes.repartitionByRange(parts, "name").sortWithinPartitions("name").write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.repartitionByRange(parts, "e1", "e2").sortWithinPartitions("e1", "e2").write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def write_splits(rows: DataFrame, path: str, **conditions: Column) -> None:
+    """A JSON table for each condition, of the rows that meet it; a row may be in several."""
+    for name, condition in conditions.items():
+        rows.filter(condition).write.mode("overwrite").json(f"{path}/{name}")
+
+
+def write_report(spark: SparkSession, lines: DataFrame, path: str) -> None:
+    """The lines ``(n, line)`` of a report as one small text file; see :mod:`reports`."""
+    _write_text(spark, path, "".join(f"{r['line']}\n" for r in lines.orderBy("n").collect()))
