@@ -2,15 +2,16 @@
 
 Rows ``(key, node, ...)`` file nodes under keys.  :func:`shared` range-partitions them by key
 and node, so that a key of any size spreads over partitions, and leaves those whose key another
-row has, each with the row before it.  Neighbours in that order connect most of what belongs
-together.  :func:`open_pairs` then gives every other pair that matters: of nodes that share a
-key but no component yet.  A key all of whose nodes are in one component gives no pairs, so a
-group of like nodes costs a pair or two for each of its rows and not the square of its size.
+row has, each with the row before it.  Neighbours in that order, and in random ones
+(:func:`neighbours`), connect most of what belongs together.  :func:`crossing` then gives every
+other pair that matters: of nodes that share a key but no component yet, out of the rows that
+:func:`open_rows` leaves.  A key all of whose nodes are in one component gives no pairs, so a
+group of like nodes costs a few pairs for each of its rows and not the square of its size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -72,13 +73,30 @@ def shared(keyed: DataFrame, order: list[str]) -> DataFrame:
     return scratch.written(map_arrow(dealt, _runs, ", ".join(fields)))
 
 
-def open_pairs(rows: DataFrame, members: DataFrame, near: Column) -> DataFrame:
-    """``(a, b)`` of nodes, a < b, that share a key, lie in different components so far and are
-    ``near``, a condition on columns ``a.*`` and ``b.*``; ``members`` are ``(node, component)``."""
-    found = rows.drop(*(c for c in rows.columns if c.startswith("prev_"))).join(small(members), "node", "left")
-    found = found.withColumn("component", F.coalesce("component", "node"))
+def neighbours(rows: DataFrame, salts: Sequence[int]) -> DataFrame:
+    """The rows with ``prev_`` columns as of :func:`shared`, once for each salt, in an order of a
+    key's rows that the salt makes; rows without a neighbour are left out."""
+    own = [c for c in rows.columns if not c.startswith("prev_")]
+    each = rows.select(*own, F.explode(F.array(*map(F.lit, salts))).alias("__salt"))
+    each = each.select(F.xxhash64("key", "__salt").alias("key"), *own[1:], F.xxhash64("node", "__salt").alias("__order"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in each.schema.fields]
+    fields += [f"prev_{x}" for x in fields[1:]]
+    dealt = each.repartitionByRange("key", "__order").sortWithinPartitions("key", "__order")
+    return map_arrow(dealt, _runs, ", ".join(fields)).filter("prev_node is not null")
+
+
+def open_rows(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows, with ``component``, of keys whose nodes lie in several components; ``members``
+    are ``(node, component)``, and other nodes are components of their own.  Written."""
+    found = rows.drop("component", *(c for c in rows.columns if c.startswith("prev_"))).join(small(members), "node", "left")
+    found = found.select("key", *(c for c in found.columns if c not in ("key", "component")), F.coalesce("component", "node").alias("component"))
     ends = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    left = scratch.written(found.join(ends.filter("low < high").select("key"), "key", "left_semi"))
-    a, b = left.alias("a"), left.alias("b")
+    return scratch.written(found.join(ends.filter("low < high").select("key"), "key", "left_semi"))
+
+
+def crossing(rows: DataFrame, near: Column) -> DataFrame:
+    """``(a, b)`` of nodes, a < b, of open rows that share a key, lie in different components and
+    are ``near``, a condition on columns ``a.*`` and ``b.*``."""
+    a, b = rows.alias("a"), rows.alias("b")
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
     return a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()

@@ -124,8 +124,8 @@ def links(prints: DataFrame) -> DataFrame:
     found = scratch.written(map_arrow(dealt, _pairs, "key bigint, a bigint, b bigint"))
     first = scratch.written(found.filter("key is null").select("a", "b").distinct())
     rows = found.filter("key is not null").select("key", F.col("a").alias("node"))
-    rest = buckets.open_pairs(rows, connected_components(first), _close("a.node", "b.node"))
-    return first.unionByName(rest)
+    rest = buckets.open_rows(rows, connected_components(first))
+    return first.unionByName(buckets.crossing(rest, _close("a.node", "b.node")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

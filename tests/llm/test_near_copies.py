@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import fingerprints, near_copies
+from lodestone.llm import buckets, fingerprints, near_copies, simhash
 
 SCHEMA = "doc_id bigint, text string, n int"
 
@@ -56,3 +58,57 @@ def test_stage_finds_every_pair(spark, monkeypatch, sample):
     linked = [(i, w) for i, w in enumerate(want) if i != w]
     assert any((prints[i] ^ prints[w]).bit_count() > 3 for i, w in linked)  # beyond the reach of op4
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_sketches_never_rule_out_too_much():
+    r = np.random.default_rng(3)
+    for n, m, shared in [(1, 1, 0), (0, 3, 0), (300, 290, 280), (5000, 40, 30), (1000, 1000, 900), (64, 65, 60)]:
+        both = r.integers(0, 2**63, shared, dtype=np.uint64)
+        x = np.unique(np.concatenate((both, r.integers(0, 2**63, n - shared, dtype=np.uint64))))
+        y = np.unique(np.concatenate((both, r.integers(0, 2**63, m - shared, dtype=np.uint64))))
+        assert near_copies.apart(near_copies.sketch(x), near_copies.sketch(y)) <= len(np.setxor1d(x, y))
+    assert near_copies.apart(near_copies.sketch(x), near_copies.sketch(x)) == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_runs_across_batches(size):
+    keys = np.sort(np.random.default_rng(size).integers(0, 40, 60))
+    nodes = np.arange(60)
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
+    got = [r for out in buckets._runs(rows.slice(i, size) for i in range(0, 60, size)) for r in out.to_pylist()]
+    twice = [i for i in range(60) if (keys == keys[i]).sum() > 1 or i in (0, 59)]
+    assert [r["node"] for r in got] == twice
+    assert all(r["prev_node"] == (i - 1 if i and keys[i - 1] == keys[i] else None) for r, i in zip(got, twice, strict=True))
+
+
+@pytest.mark.parametrize("long_run", [3, 1000])
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_bucket_pairs_connect_what_brute_force_does(monkeypatch, long_run, size):
+    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+    r = np.random.default_rng(5)
+    centres = r.integers(0, 2**63, 6)
+    nodes = np.unique([int(c) ^ (1 << int(r.integers(0, 60))) ^ (1 << int(r.integers(0, 60))) for c in centres for _ in range(9)])
+    rows = sorted({(int(k), int(n)) for n in nodes for k in r.integers(0, 8, 4)})
+    batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["key", "node"])
+    out = [x for b in simhash._pairs(batch.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
+    left = {(x["key"], x["a"]) for x in out if x["b"] is None}
+    pairs = {(x["a"], x["b"]) for x in out if x["b"] is not None}
+    close = lambda p, q: (p ^ q).bit_count() <= 3
+    assert all(close(p, q) for p, q in pairs)
+    pairs |= {(p, q) for k, p in left for j, q in left if j == k and p < q and close(p, q)}
+    by_key = {}
+    for k, n in rows:
+        by_key.setdefault(k, []).append(n)
+    want = {(p, q) for each in by_key.values() for p in each for q in each if p < q and close(p, q)}
+
+    def labels(edges):
+        label = {int(n): int(n) for n in nodes}
+        while True:
+            new = dict(label)
+            for p, q in edges:
+                new[p] = new[q] = min(new[p], new[q])
+            if new == label:
+                return label
+            label = new
+
+    assert labels(pairs) == labels(want) and len(want) > 10
