@@ -56,3 +56,9 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made here."""
     where, files = _path(spark, path)
     files.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything under a path of any file system that Spark reaches."""
+    where, files = _path(spark, path)
+    return files.exists(where)
