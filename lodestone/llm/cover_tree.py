@@ -15,6 +15,8 @@ import numpy as np
 
 #: More than rounding can add to a distance of unit vectors.
 SLACK = 1e-7
+#: Candidates for centres whose distances are taken at once.
+_AT_ONCE = 64
 
 
 @dataclass
@@ -53,10 +55,16 @@ def build(units: np.ndarray) -> Node:
             return made
         left = np.r_[centre, members[members != centre]]
         while len(left):
-            near = _distances(units[left], units[left[0]]) <= made.radius / 2
-            near[0] = True
-            made.children.append(node(int(left[0]), left[near]))
-            left = left[~near]
+            near = _distances(units[left[:_AT_ONCE]], units[left]) <= made.radius / 2
+            free = np.ones(len(left), bool)
+            for i in range(len(near)):
+                if free[i]:
+                    mine = near[i] & free
+                    mine[i] = True
+                    free &= ~mine
+                    first, held = int(left[i]), left[mine]
+                    made.children.append(node(first, held) if len(held) > 1 else Node(first, 0.0, held))
+            left = left[free]
         return made
 
     return node(0, np.arange(len(units)))

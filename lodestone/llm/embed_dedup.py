@@ -1,12 +1,13 @@
 """Exact threshold links between embeddings of a label, by dual traversal of cover trees.
 
 Equal vectors of a label collapse to one class with a count, so copies are never paired.  The
-classes of a large label are dealt to pivots, the first members of a farthest-first order of a
-bounded sample, and cells that are still too large are split by a hash; each block of bounded
-size gets a cover tree of its own.  Blocks whose covering radii rule out a close pair are never
-brought together.  Of the others, each pair of blocks is traversed in one task, which returns a
-count of links for each vector and a spanning forest of them, no more rows than vectors.
-Pivots only decide how many pairs of blocks are ruled out, never which links are found.
+classes of a label are one cell of a tree; a cell that is larger than a block is split among
+pivots, which are spread far apart over a sample of it, and so on level by level, so pivots grow
+in number with the data and none is kept by the driver.  Pairs of cells are followed down these
+levels, and those whose covering radii rule out a close pair end there.  Each cell at the bottom
+is a block with a cover tree of its own; a pair of blocks is traversed in one task, which returns
+a count of links for each vector and a spanning forest of them, no more rows than vectors.
+Pivots only decide how many pairs are ruled out, never which links are found.
 """
 
 from __future__ import annotations
@@ -23,12 +24,15 @@ from lodestone.llm import cover_tree
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow, ship
 from lodestone.plans.components import connected_components
+from lodestone.plans.size import small
 
 THRESHOLD = 0.93
-#: Vectors in a block, about; vectors sampled for pivots over all labels.
-BLOCK, SAMPLE = 1024, 4096
+#: Vectors in a block, about; vectors sampled of a cell for its pivots, pivots of a cell at most,
+#: rows of a cell that are dealt to pivots at once, and levels, after which a cell that is still
+#: too large is split by a hash.
+BLOCK, SAMPLE, FANOUT, PART, LEVELS = 1024, 512, 64, 4096, 6
 _TREES = 16
-_BLOCKS = "label string, dim int, block string, centre array<double>, radius double, keys binary, counts binary, vectors binary"
+_BLOCKS = "label string, dim int, cell string, centre array<double>, radius double, keys binary, counts binary, vectors binary"
 
 
 def _comparable(vec: Column) -> Column:
@@ -44,42 +48,97 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt(np.einsum("ij,ij->i", scaled, scaled))[:, None]
 
 
-def _pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots of the labels that fill more than a block, from a sample picked by a hash."""
-    total = classes.count()
-    every = max(1, total // SAMPLE)
-    picked = classes.filter(F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(every)) == 0).select("label", "dim", "key", "vec").collect()
-    groups: dict[tuple[str, int], list] = {}
-    for r in sorted(picked, key=lambda r: r["key"]):
-        groups.setdefault((r["label"], r["dim"]), []).append(r["vec"])
-    found = {}
-    for name, vectors in groups.items():
-        wanted = min(len(vectors), -(-len(vectors) * every // BLOCK))
-        if wanted < 2:
-            continue
-        units = _units(np.array(vectors, float))
-        chosen, away = [0], 1 - units @ units[0]
-        while len(chosen) < wanted:
-            chosen.append(int(away.argmax()))
-            away = np.minimum(away, 1 - units @ units[chosen[-1]])
-        found[name] = units[chosen]
-    return found
-
-
-def _celled(pivots: dict[tuple[str, int], np.ndarray]):
-    """The rows with the nearest pivot of their label and dimension."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = batch.to_pandas()
-            cells = np.zeros(len(table), np.int32)
-            for name, rows in table.groupby(["label", "dim"]).indices.items():
-                if name in pivots:
-                    units = _units(np.stack(table["vec"].to_numpy()[rows]).astype(float))
-                    cells[rows] = (units @ pivots[name].T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], [*batch.schema.names, "cell"])
-
-    return run
+def _chosen(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The pivots of a cell, farthest first over its sample."""
+    label, dim, cell, size = key
+    units = _units(np.stack(rows.sort_values("key")["vec"].to_numpy()).astype(float))
+    wanted = min(len(units), FANOUT, max(2, -(-int(size) // BLOCK)))
+    chosen, away = [0], 1 - units @ units[0]
+    while len(chosen) < wanted:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, 1 - units @ units[chosen[-1]])
+    n = len(chosen)
+    return pd.DataFrame({"label": [label] * n, "dim": [dim] * n, "cell": [cell] * n, "pivot": range(n), "centre": units[chosen].tolist()})
+
+
+def _dealt(key: tuple, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a cell with the cell of their nearest pivot and the distance to it.  A cell
+    without pivots has one child, around zero."""
+    if not len(rows):
+        return pd.DataFrame({c: [] for c in (*_ROW, "parent", "away")})
+    if len(pivots):
+        pivots = pivots.sort_values("pivot")
+        cosines = _units(np.stack(rows["vec"].to_numpy()).astype(float)) @ np.stack(pivots["centre"].to_numpy()).astype(float).T
+        nearest = cosines.argmax(axis=1)
+        away = np.sqrt(np.maximum(2 - 2 * cosines[np.arange(len(rows)), nearest], 0)) + cover_tree.SLACK
+    else:
+        nearest, away = np.zeros(len(rows), np.int64), np.ones(len(rows))
+    cells = [f"{key[2]}.{i}" for i in nearest]
+    return rows[_ROW[:-1]].assign(cell=cells, parent=key[2], away=away)
+
+
+_ROW = ["label", "dim", "key", "n", "vec", "cell"]
+_CELL = ["label", "dim", "cell"]
+
+
+def _cells(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The classes with their ``cell`` at the bottom, and for each level the cells made there:
+    ``(label, dim, parent, cell, centre, radius)``."""
+    rows = scratch.written(classes.withColumn("cell", F.lit("")))
+    bottom, levels = [], []
+    for level in range(LEVELS):
+        sizes = rows.groupBy(*_CELL).agg(F.count("*").alias("size"))
+        large = scratch.written(sizes.filter(F.col("size") > BLOCK))
+        if large.isEmpty():
+            break
+        bottom.append(rows.join(small(large), _CELL, "left_anti").select(*_ROW))
+        rows = rows.join(small(large), _CELL)
+        every = F.ceil(F.col("size") / SAMPLE)
+        sample = rows.filter(F.pmod(F.xxhash64("key", F.lit(level)), every) == 0)
+        pivots = scratch.written(sample.groupBy(*_CELL, "size").applyInPandas(_chosen, "label string, dim int, cell string, pivot int, centre array<double>"))
+        parts = F.ceil(F.col("size") / PART)
+        apart = rows.select(*_ROW, F.pmod(F.xxhash64("key", F.lit("part")), parts).alias("part")).groupBy(*_CELL, "part")
+        each = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part")
+        spread = pivots.join(large, _CELL).select(*_CELL, "pivot", "centre", each).groupBy(*_CELL, "part")
+        schema = "label string, dim int, key bigint, n bigint, vec array<double>, cell string, parent string, away double"
+        rows = scratch.written(apart.cogroup(spread).applyInPandas(_dealt, schema))
+        made = rows.groupBy("label", "dim", "parent", "cell").agg(F.max("away").alias("radius"))
+        centres = pivots.select("label", "dim", F.concat("cell", F.lit("."), F.col("pivot").cast("string")).alias("cell"), "centre")
+        zero = F.array_repeat(F.lit(0.0), F.col("dim"))
+        levels.append(scratch.written(made.join(centres, _CELL, "left").withColumn("centre", F.coalesce("centre", zero))))
+        rows = rows.select(*_ROW)
+    else:  # still too large: split by a hash, under the same centre
+        sizes = rows.groupBy(*_CELL).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+        rows = rows.withColumnRenamed("cell", "parent").join(sizes.withColumnRenamed("cell", "parent"), ["label", "dim", "parent"])
+        part = F.pmod(F.xxhash64("key", F.lit("block")), F.col("parts")).cast("string")
+        rows = scratch.written(rows.withColumn("cell", F.when(F.col("parts") > 1, F.concat("parent", F.lit("#"), part)).otherwise(F.col("parent"))))
+        covering = levels[-1].select("label", "dim", F.col("cell").alias("parent"), "centre", "radius")
+        parts = rows.filter("parts > 1").select("label", "dim", "parent", "cell").distinct()
+        levels.append(scratch.written(parts.join(covering, ["label", "dim", "parent"])))
+    for each in bottom:
+        rows = rows.select(*_ROW).unionByName(each)
+    return rows.select(*_ROW), levels
+
+
+def _cell_pairs(cells: DataFrame, levels: list[DataFrame], reach: float) -> DataFrame:
+    """``(label, dim, cell_a, cell_b)`` of the cells at the bottom that may hold a close pair,
+    cell_a <= cell_b: pairs are followed down the levels and dropped where radii rule them out."""
+    pairs = cells.select("label", "dim").distinct().select("label", "dim", F.lit("").alias("cell_a"), F.lit("").alias("cell_b"))
+    for made in levels:
+        for s in ("a", "b"):
+            kids = made.select("label", "dim", F.col("parent").alias(f"cell_{s}"), *(F.col(c).alias(f"{c}_{s}_kid") for c in ("cell", "centre", "radius")))
+            pairs = pairs.join(kids, ["label", "dim", f"cell_{s}"], "left")
+        a, b = (F.coalesce(f"cell_{s}_kid", f"cell_{s}") for s in ("a", "b"))
+        split = F.col("cell_a_kid").isNotNull() & F.col("cell_b_kid").isNotNull()
+        near = ~split | (_distance("centre_a_kid", "centre_b_kid") <= F.col("radius_a_kid") + F.col("radius_b_kid") + reach)
+        once = (F.col("cell_a") != F.col("cell_b")) | (a <= b)
+        pairs = scratch.written(pairs.filter(once & near).select("label", "dim", a.alias("cell_a"), b.alias("cell_b")))
+    return pairs
+
+
+def _distance(a: str, b: str) -> Column:
+    """The distance of two centres, which are unit vectors or zero."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
 def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -87,9 +146,9 @@ def _block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     vectors = np.stack(rows["vec"].to_numpy()).astype(float)
     units = _units(vectors)
     tree = cover_tree.build(units)
-    label, dim, cell, part = key
+    label, dim, cell = key
     return pd.DataFrame({
-        "label": [label], "dim": [dim], "block": [f"{cell}/{part}"], "centre": [units[tree.centre].tolist()], "radius": [tree.radius],
+        "label": [label], "dim": [dim], "cell": [cell], "centre": [units[tree.centre].tolist()], "radius": [tree.radius],
         "keys": [rows["key"].to_numpy(np.int64).tobytes()], "counts": [rows["n"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()],
     })
 
@@ -120,7 +179,7 @@ def _traversed(threshold: float):
         built: dict[tuple, tuple] = {}  # trees of the last few blocks
 
         def side(row: dict, s: str) -> tuple:
-            name = (row["label"], row["dim"], row[f"block_{s}"])
+            name = (row["label"], row["dim"], row[f"cell_{s}"])
             if name not in built:
                 if len(built) >= _TREES:
                     built.clear()
@@ -132,7 +191,7 @@ def _traversed(threshold: float):
         for batch in batches:
             for row in batch.to_pylist():
                 (ka, na, xa, ta), (kb, nb, xb, tb) = side(row, "a"), side(row, "b")
-                same = row["block_a"] == row["block_b"]
+                same = row["cell_a"] == row["cell_b"]
                 links: dict[int, int] = {}
                 edges = []
                 for i, j in cover_tree.close_pairs(ta, tb, xa, xb, threshold):
@@ -176,25 +235,20 @@ def link_embeddings(
     classes = classes.select("label", "h1", "h2", F.size("vec").alias("dim"), F.monotonically_increasing_id().alias("key"), "rep", "n", "vec")
     classes = scratch.written(classes)
 
-    narrow = classes.select("label", "dim", "key", "n", "vec")
-    celled = map_arrow(narrow, _celled(_pivots(narrow)), "label string, dim int, key bigint, n bigint, vec array<double>, cell int")
-    celled = scratch.written(celled)
-    parts = celled.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
-    dealt = celled.join(parts, ["label", "dim", "cell"], "left")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.coalesce("parts", F.lit(1))))
-    blocks = scratch.written(dealt.groupBy("label", "dim", "cell", "part").applyInPandas(_block, _BLOCKS))
+    reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 2 * cover_tree.SLACK
+    cells, levels = _cells(classes.select("label", "dim", "key", "n", "vec"))
+    blocks = scratch.written(cells.groupBy(*_CELL).applyInPandas(_block, _BLOCKS))
+    pairs = _cell_pairs(blocks, levels, reach)
 
     def side(s: str, columns: list[str]) -> DataFrame:
         return blocks.select("label", "dim", *(F.col(c).alias(f"{c}_{s}") for c in columns))
 
-    meta = ["block", "centre", "radius"]
-    dot = F.aggregate(F.zip_with("centre_a", "centre_b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    apart = F.sqrt(F.greatest(F.lit(2.0) - 2 * dot, F.lit(0.0)))
-    reach = float(np.sqrt(max(2 - 2 * threshold, 0))) + 2 * cover_tree.SLACK
-    near = (F.col("block_a") <= F.col("block_b")) & (apart <= F.col("radius_a") + F.col("radius_b") + reach)
-    pairs = side("a", meta).join(side("b", meta), ["label", "dim"]).filter(near).select("label", "dim", "block_a", "block_b")
-    pairs = pairs.join(side("a", ["block", "keys", "counts", "vectors"]), ["label", "dim", "block_a"])
-    pairs = pairs.join(side("b", ["block", "keys", "counts", "vectors"]), ["label", "dim", "block_b"])
+    for s in ("a", "b"):  # the blocks' own centres and radii are closer than the cells'
+        pairs = pairs.join(side(s, ["cell", "centre", "radius"]), ["label", "dim", f"cell_{s}"])
+    pairs = pairs.filter(_distance("centre_a", "centre_b") <= F.col("radius_a") + F.col("radius_b") + reach)
+    pairs = pairs.select("label", "dim", "cell_a", "cell_b")
+    for s in ("a", "b"):
+        pairs = pairs.join(side(s, ["cell", "keys", "counts", "vectors"]), ["label", "dim", f"cell_{s}"])
     found = scratch.written(map_arrow(pairs, _traversed(threshold), "a bigint, b bigint, links bigint"))
 
     links = found.filter("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))

@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans.arrow import map_arrow
+from lodestone.plans.size import small
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-#: Documents to learn from at most, shared equally by at most so many languages.
-SAMPLE_DOCS, MAX_LANGS = 3000, 256
+#: Documents to learn from in expectation, shared equally by the languages; each has five at least.
+SAMPLE_DOCS, LEAST_DOCS = 3000, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 1e-3, 1e-3
 UNKNOWN = "und"
 _CHUNK = 1 << 20
@@ -163,20 +164,23 @@ def fit(docs: DataFrame, place: Column, text_col: str = "text", lang_col: str =
     """A model learned from the rows with a language and at least one letter in their text.
 
     ``place`` orders documents by a hash; the sample has those with the least hashes of each
-    language, in expectation ``SAMPLE_DOCS`` over all.  Document frequencies cover every row.
+    language, in expectation ``SAMPLE_DOCS`` over all.  Every language that occurs is learned.
+    Document frequencies cover every row.
     Without such rows the model knows no language and predicts ``und``.
     """
     rows = docs.select(place.alias("place"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.filter("lang is not null and text is not null and place is not null")
     rows = rows.filter(F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.ones(BUCKETS))
-    each = SAMPLE_DOCS / len(sizes)
-    scale, chosen = float(1 << 32), F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("place") < math.ceil(scale * min(1.0, each / r["n"]))))
-    sample = map_arrow(rows.filter(chosen), _examples, "place bigint, lang string, at binary, counts binary")
+    each = max(LEAST_DOCS, SAMPLE_DOCS / len(sizes))
+    scale = float(1 << 32)
+    # One row for each language: as many as the model has columns.
+    shares = [(r["lang"], math.ceil(scale * min(1.0, each / r["n"]))) for r in sizes]
+    below = docs.sparkSession.createDataFrame(shares, "lang string, below bigint")
+    chosen = rows.join(small(below), "lang").filter("place < below").select("place", "lang", "text")
+    sample = map_arrow(chosen, _examples, "place bigint, lang string, at binary, counts binary")
     examples = [
         (r["lang"], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["counts"], "<u4"))
         for r in sorted(sample.collect(), key=lambda r: (r["place"], r["lang"], r["at"], r["counts"]))

@@ -130,9 +130,9 @@ def kept_lines(keep: bytes | None, lines: int) -> np.ndarray:
     """A bitmap as booleans, one per line; lines beyond its end, and all without one, are kept."""
     kept = np.ones(lines, bool)
     if keep is not None:
-        *packed, unused = zlib.decompress(keep)
-        bits = np.unpackbits(np.array(packed, np.uint8), bitorder="little")
-        held = bits[: len(bits) - unused].astype(bool)
+        packed = np.frombuffer(zlib.decompress(keep), np.uint8)
+        bits = np.unpackbits(packed[:-1], bitorder="little")
+        held = bits[: len(bits) - int(packed[-1])].astype(bool)
         kept[: len(held)] = held
     return kept
 

@@ -175,8 +175,23 @@ FROM keyed LEFT JOIN held USING (key) GROUP BY doc_id
 """
 
 
+_OP8 = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS s, b.vec_id AS t FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(s, t) AS (SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l ON l.s = r.t),
+least_ids AS (SELECT s, least(s, min(t)) AS component_id FROM reach GROUP BY s),
+counts AS (SELECT s, count(*) AS n_links FROM links GROUP BY s)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN least_ids ON least_ids.s = vec_id LEFT JOIN counts ON counts.s = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql()}
+    return {"op8_embed_dedup": _OP8, "op1_warc": _OP1, "op2_line_dedup": _OP2, "op3_url_filter": _op3_sql(), "op5_sharding": _op5_sql()}
 
 
 def _op5_sql() -> str:

@@ -8,8 +8,9 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words kept at once; further ones are encoded each time, which changes no result.
-CACHED_WORDS = 300_000
+#: Words kept at once; further ones are encoded each time, which changes no result.  A word is
+#: kept when it comes a second time: most words of a corpus come once.
+CACHED_WORDS, _DOOR = 300_000, (1 << 22) - 1
 _LATIN = [chr(i) for i in range(256)]
 _LOWER = bytes(ord(c.lower()) for c in _LATIN)
 _PROSE = bytes(i for i, c in enumerate(_LATIN) if c.isalpha() or c in "0123456789 \t\n\r\x0b\x0c.,")
@@ -47,6 +48,7 @@ class Encoder(dict):
         self._model = self._tokenizer.model
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._met = bytearray(_DOOR + 1)
 
     def __missing__(self, word: bytes | str) -> bytes:
         text = word.decode("latin-1") if isinstance(word, bytes) else word
@@ -59,7 +61,10 @@ class Encoder(dict):
             found = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
         ids = array(self._code, found).tobytes()
         if len(self) < CACHED_WORDS:
-            self[word] = ids
+            door = hash(word) & _DOOR
+            if self._met[door]:
+                self[word] = ids
+            self._met[door] = 1
         return ids
 
     @staticmethod

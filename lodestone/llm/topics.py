@@ -36,7 +36,7 @@ def _counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Feature weights, what a language's mean adds to each topic, and the topics' centres."""
+    """Feature weights, what a language's mean adds to each topic, and by feature the centres."""
 
     tokenizer: str
     idf: np.ndarray
@@ -49,10 +49,10 @@ class Model:
 
     def number(self, ids: np.ndarray, lang: str | None = None) -> int | None:
         """The topic of a text's ids; none without ids, or where nothing was learned."""
-        if not len(ids) or not len(self.centres):
+        if not len(ids) or not self.centres.shape[1]:
             return None
         at, counts = _counts(ids)
-        near = self.centres[:, at] @ self.values(at, counts) - self.offsets.get(lang, self.offsets[None])
+        near = self.values(at, counts) @ self.centres[at] - self.offsets.get(lang, self.offsets[None])
         return int(near.argmax())
 
 
@@ -77,7 +77,7 @@ def learn(examples: Sequence[tuple[str | None, np.ndarray, np.ndarray]], tokeniz
     idf = np.zeros(_FEATURES)
     for _, at, _ in examples:
         idf[at] += 1
-    model = Model(tokenizer, np.log((1 + len(examples)) / (1 + idf)), {}, np.zeros((0, _FEATURES)))
+    model = Model(tokenizer, np.log((1 + len(examples)) / (1 + idf)), {}, np.zeros((_FEATURES, 0)))
     if not examples:
         return model
     vectors = np.zeros((len(examples), _FEATURES), np.float32)
@@ -102,7 +102,8 @@ def learn(examples: Sequence[tuple[str | None, np.ndarray, np.ndarray]], tokeniz
         sums = np.stack([centred[of == j].sum(axis=0) if (of == j).any() else centres[j] for j in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     centres = centres[np.argsort(-np.bincount(of, minlength=len(centres)), kind="stable")]
-    model.centres = centres = centres[_chained(centres)]
+    centres = centres[_chained(centres)]
+    model.centres = np.ascontiguousarray(centres.T)
     model.offsets = {x: centres @ mean for x, mean in means.items()}
     return model
 

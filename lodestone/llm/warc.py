@@ -1,12 +1,14 @@
 """Writes pages as sharded WARC 1.1 archives, and reads them back.
 
-Shards are ranges of the record key that hold about equal bytes.  Their bounds come from a
-sample picked by a hash of the key, so they depend on the records alone.  A task writes its
+Shards are ranges of the record key, and of the payload's digest among equal or null keys, that
+hold about equal bytes.  Their bounds come from a sample picked by a hash of both, so they depend
+on the records alone, and a key that very many records have spreads over shards.  A task writes its
 shard in key order, each record a gzip member, and starts a new file when the compressed size
 would pass a limit.  Files get temporary names with the task's attempt in them, and the rows
 that describe them go through Spark's own commit, which takes one attempt of each task.  A
-second pass renames the files of those rows, which may be repeated without harm, and writes
-the manifest; archives that no manifest lists do not exist to the reader.
+second pass renames the files of those rows, which may be repeated without harm as files are
+told by their SHA-256, and writes the manifest; archives that no manifest lists do not exist to
+the reader, which checks the files' SHA-256 again.
 
 Of records with equal payloads the one with the least key is stored and the others refer to
 it.  Which they are is found on digests alone; payloads are shuffled once, to their shard.
@@ -47,8 +49,8 @@ def _sha(data: bytes) -> str:
     return "sha256:" + hashlib.sha256(data).hexdigest()
 
 
-def _record_id(key: int | None, n: int) -> str:
-    return f"<{uuid.uuid5(_SPACE, f'{key}/{n}').urn}>"
+def _record_id(key: int | None, digest: str, n: int) -> str:
+    return f"<{uuid.uuid5(_SPACE, f'{key}/{digest}/{n}').urn}>"
 
 
 def _uri(url: str | None) -> str:
@@ -61,18 +63,19 @@ def _block(headers: dict[str, str | int | None], content: bytes) -> bytes:
 
 
 def record(key: int | None, n: int, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record with its headers and digests made anew; ``n`` tells repeated keys apart."""
-    revisit = refers_to is not None
+    """One record with its headers and digests made anew; ``n`` tells records of equal keys and
+    payloads apart."""
+    revisit, digest = refers_to is not None, _sha(payload)
     http = _HTTP.format(len(payload)).encode()
     content = http if revisit else http + payload
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": _record_id(key, n),
+        "WARC-Record-ID": _record_id(key, digest, n),
         "WARC-Date": date,
         "WARC-Target-URI": _uri(url),
         "WARC-Profile": _PROFILE if revisit else None,
-        "WARC-Refers-To": _record_id(refers_to, 0) if revisit else None,
-        "WARC-Payload-Digest": _sha(payload),
+        "WARC-Refers-To": _record_id(refers_to, digest, 0) if revisit else None,
+        "WARC-Payload-Digest": digest,
         "WARC-Block-Digest": _sha(content),
         "Content-Type": "application/http; msgtype=response",
         "X-Record-Key": key,
@@ -97,7 +100,7 @@ class _Rolling:
         self.store.create_dir(f"{self.folder}/_temporary", recursive=True)
         self.out = self.store.open_output_stream(f"{self.folder}/{self.temporary}")
         self.size, self.records, self.sha = 0, 0, hashlib.sha256()
-        info = {"WARC-Type": "warcinfo", "WARC-Record-ID": _record_id(None, self.shard << 32 | len(self.rows)),
+        info = {"WARC-Type": "warcinfo", "WARC-Record-ID": _record_id(None, self.file, 0),
                 "WARC-Date": DATE, "WARC-Filename": self.file, "Content-Type": "application/warc-fields"}
         self._put(gzip.compress(_block(info, b"format: WARC File Format 1.1\r\n"), mtime=0))
 
@@ -141,7 +144,7 @@ def _written(folder: str, limit: int):
                 if payload is None:
                     said = (key, digest, refers_to)
                     continue
-                n, last = (n + 1 if key == last else 0), key
+                n, last = (n + 1 if (key, digest) == last else 0), (key, digest)
                 files.add(record(key, n, url, payload, said[2] if said[:2] == (key, digest) else None))
         if files:
             files.close()
@@ -154,44 +157,65 @@ def _written(folder: str, limit: int):
     return run
 
 
+def _file_sha(store: fs.FileSystem, path: str) -> str:
+    found = hashlib.sha256()
+    with store.open_input_stream(path, compression=None) as stream:
+        while part := stream.read(1 << 20):
+            found.update(part)
+    return found.hexdigest()
+
+
 def _committed(folder: str):
-    """Renames the listed files, or finds that an earlier attempt has done so."""
+    """Renames the listed files, or finds that an earlier attempt has done so; a file of other
+    content under a final name, which no manifest lists, is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 final = f"{base}/{row['file']}"
-                if store.get_file_info(final).type == fs.FileType.NotFound:
-                    store.move(f"{base}/{row['temporary']}", final)
-                if store.get_file_info(final).size != row["bytes"]:
-                    raise OSError(f"{final} does not have the size that was written")
+                if store.get_file_info(final).type != fs.FileType.NotFound:
+                    if _file_sha(store, final) == row["sha256"]:
+                        continue
+                    store.delete_file(final)
+                store.move(f"{base}/{row['temporary']}", final)
             yield batch
 
     return run
 
 
-def _bounds(sizes: DataFrame, shards: int, rows: int) -> list[int]:
-    """The first keys of all shards but the first, by the bytes at a hashed sample of keys."""
+Bounds = list[tuple[int | None, int]]
+
+
+def _bounds(sizes: DataFrame, shards: int, rows: int) -> Bounds:
+    """The first (key, tie) of all shards but the first, by the bytes at a hashed sample of them."""
     if shards == 1:
         return []
     every = max(1, rows // SAMPLE_KEYS)
-    picked = sizes.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0) if every > 1 else sizes
-    found = picked.filter("key is not null").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    found.sort(key=lambda r: r["key"])
-    passed = np.cumsum([r["n"] + 512 for r in found], dtype=float)
+    picked = sizes.filter(F.pmod(F.xxhash64("key", "tie"), F.lit(every)) == 0) if every > 1 else sizes
+    found = picked.groupBy("key", "tie").agg((F.sum("n") + 512 * F.count("*")).alias("n")).collect()
+    found.sort(key=lambda r: (r["key"] is not None, r["key"] or 0, r["tie"]))
+    passed = np.cumsum([r["n"] for r in found], dtype=float)
     at = [int(np.searchsorted(passed, passed[-1] * i / shards)) for i in range(1, shards)] if found else []
-    return sorted({found[min(i, len(found) - 1)]["key"] for i in at})
+    return [(found[i]["key"], found[i]["tie"]) for i in sorted({min(i, len(found) - 1) for i in at})]
+
 
+def shards_of(bounds: Bounds, keys: pa.Array, ties: np.ndarray) -> np.ndarray:
+    """The number of bounds that are not above each (key, tie); null keys come first."""
+    nulls = np.array([t for k, t in bounds if k is None], np.int64)
+    first = np.array([k for k, _ in bounds if k is not None], np.int64)
+    second = np.array([t for k, t in bounds if k is not None], np.int64)
+    values, absent = keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False)
+    low, high = (np.searchsorted(first, values, side=side) for side in ("left", "right"))
+    for i in np.flatnonzero((low < high) & ~absent).tolist():  # keys at a bound
+        low[i] += np.searchsorted(second[low[i] : high[i]], ties[i], side="right")
+    return np.where(absent, np.searchsorted(nulls, ties, side="right"), low + len(nulls))
 
-def _sharded(bounds: list[int]):
-    first = np.array(bounds, np.int64)
 
+def _sharded(bounds: Bounds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0)
-            found = np.searchsorted(first, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            found[keys.is_null().to_numpy(zero_copy_only=False)] = 0
+            found = shards_of(bounds, batch.column(0), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *batch.columns], ["shard", *batch.schema.names])
 
     return run
@@ -209,30 +233,34 @@ def write(
     """Writes every row as a record and returns the manifest, one row per archive file.
 
     Keys must be integers.  A null payload is empty and a null URL ``about:blank``.  Null keys
-    lie in the first shard; they never are referred to, and stay responses where no key is
+    lie in the first shards; they never are referred to, and stay responses where no key is
     known for their payload.  Rows that tie on the least key of a payload are all responses.
-    ``folder`` must be one that executors reach through Arrow's file systems.
+    Repeated rows are records of their own; a payload of any length is one record; an empty table
+    has an empty manifest.  ``folder`` must be one that executors reach through Arrow's file
+    systems; one that has a manifest already is refused.
     """
+    if scratch.exists(pages.sparkSession, f"{folder}/_manifest"):
+        raise ValueError(f"{folder} holds archives already")
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
     whole = pages.select(F.col(key_col).cast("bigint").alias("key"), F.col(url_col).alias("url"), payload.alias("payload"))
-    whole = whole.withColumn("digest", F.sha2("payload", 256))
-    narrow = scratch.written(whole.select("key", "digest", F.octet_length("payload").cast("bigint").alias("n")))
+    whole = whole.withColumn("digest", F.sha2("payload", 256)).withColumn("tie", F.xxhash64("digest"))
+    narrow = scratch.written(whole.select("key", "tie", "digest", F.octet_length("payload").cast("bigint").alias("n")))
     rows, total = narrow.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     shards = max(1, math.ceil(total / shard_bytes))
-    bounds = _bounds(narrow.select("key", "n"), shards, rows)
+    bounds = _bounds(narrow.select("key", "tie", "n"), shards, rows)
 
     long = narrow.filter(F.col("n") >= MIN_REVISIT)
     least = long.groupBy("digest").agg(F.min("key").alias("refers_to"), F.count("*").alias("copies"))
     least = least.filter("copies > 1 and refers_to is not null").select("digest", "refers_to")
-    told = long.join(least, "digest").filter("key is null or key <> refers_to").select("key", "digest", "refers_to").distinct()
+    told = long.join(least, "digest").filter("key is null or key <> refers_to").select("key", "tie", "digest", "refers_to").distinct()
 
-    columns = ["key", "digest", "refers_to", "url", "payload"]
+    columns = ["key", "tie", "digest", "refers_to", "url", "payload"]
     told = told.withColumn("url", F.lit(None).cast("string")).withColumn("payload", F.lit(None).cast("binary"))
     both = told.select(columns).unionByName(whole.withColumn("refers_to", F.lit(None).cast("bigint")).select(columns))
-    dealt = map_arrow(both, _sharded(bounds), "shard int, key bigint, digest string, refers_to bigint, url string, payload binary")
+    dealt = map_arrow(both, _sharded(bounds), "shard int, key bigint, tie bigint, digest string, refers_to bigint, url string, payload binary")
     dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard"))
-    dealt = dealt.sortWithinPartitions("shard", "key", "digest", F.col("payload").isNotNull(), "url")
-    listed = scratch.written(map_arrow(dealt, _written(folder, roll_bytes), _MANIFEST))
+    dealt = dealt.sortWithinPartitions("shard", "key", "tie", "digest", F.col("payload").isNotNull(), "url")
+    listed = scratch.written(map_arrow(dealt.drop("tie"), _written(folder, roll_bytes), _MANIFEST))
     manifest = scratch.written(map_arrow(listed, _committed(folder), _MANIFEST), f"{folder}/_manifest")
     scratch.remove(pages.sparkSession, f"{folder}/_temporary")
     return manifest
@@ -259,8 +287,10 @@ def _parsed(folder: str):
         names = [x.split()[0] for x in _READ.split(", ")]
         number = lambda x: int(x) if x is not None else None
         for batch in batches:
-            for file in batch.column(0).to_pylist():
+            for file, sha in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = []
+                if _file_sha(store, f"{base}/{file}") != sha:
+                    raise ValueError(f"{file} is not what the manifest lists")
                 with store.open_input_stream(f"{base}/{file}", compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for headers, content in parse(stream):
                         if headers["warc-type"] == "warcinfo":
@@ -280,6 +310,7 @@ def _parsed(folder: str):
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in a manifest: ``page_id, payload_bytes, payload_digest,
-    record_type, refers_to, url, file``; digests of blocks and stored payloads are verified."""
+    record_type, refers_to, url, file``; the files' SHA-256 and the digests of blocks and stored
+    payloads are verified.  An empty manifest has no records."""
     files = max(1, manifest.count())
-    return map_arrow(manifest.select("file").repartition(min(files, 10_000), "file"), _parsed(folder), _READ)
+    return map_arrow(manifest.select("file", "sha256").repartition(min(files, 10_000), "file"), _parsed(folder), _READ)

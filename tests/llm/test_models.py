@@ -26,6 +26,7 @@ def test_encoder_equals_the_tokenizer():
     for text in ODD + _docs(20):
         want = encoder._tokenizer.encode(text, add_special_tokens=False).ids
         assert encoder.encode(text).tolist() == want
+        assert encoder.encode(text).tolist() == want
         assert encoder.encode(text).tolist() == want  # from the cache
 
 
@@ -134,9 +135,27 @@ def test_close_pairs_are_exact():
         assert got == {(i, j) for i, j in zip(*np.nonzero(units @ units.T >= threshold), strict=True)}
 
 
-@pytest.mark.parametrize("block", [1024, 12])
-def test_embedding_links(spark, monkeypatch, block):
+def test_far_cells_are_ruled_out(spark, monkeypatch):
+    """In clusters, pairs of cells that may hold a link grow with the cells, not their square."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embed_dedup, "LEVELS", 12)
+    r = np.random.default_rng(8)
+    x = np.concatenate([c + 0.02 * r.normal(size=(40, 24)) for c in r.normal(size=(12, 24))])
+    df = spark.createDataFrame([("t", 24, i, 1, v.tolist()) for i, v in enumerate(x)], "label string, dim int, key bigint, n bigint, vec array<double>")
+    cells, levels = embed_dedup._cells(df)
+    assert sorted(q["key"] for q in cells.select("key").collect()) == list(range(len(x))) and len(levels) > 2
+    of = {q["key"]: q["cell"] for q in cells.collect()}
+    blocks = set(of.values())
+    pairs = {(q["cell_a"], q["cell_b"]) for q in embed_dedup._cell_pairs(cells.select("label", "dim", "cell").distinct(), levels, 0.3742).collect()}
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = {tuple(sorted((of[int(i)], of[int(j)]))) for i, j in zip(*np.nonzero(units @ units.T >= 0.93), strict=True)}
+    assert linked <= pairs and len(pairs) < len(blocks) * (len(blocks) + 1) / 2 / 3
+
+
+@pytest.mark.parametrize(("block", "levels"), [(1024, 6), (12, 6), (12, 1)])
+def test_embedding_links(spark, monkeypatch, block, levels):
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
+    monkeypatch.setattr(embed_dedup, "LEVELS", levels)
     x = _vectors(140)
     rows = [(i, v.tolist(), i % 2 if i % 10 < 8 else 1) for i, v in enumerate(x)]
     bad = [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, x[0].tolist(), None), (905, [1.0, 2.0], 0), (906, [float("inf")] * 16, 0), (None, x[0].tolist(), 0)]

@@ -7,8 +7,10 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from lodestone.llm import mixing, sharding, url_filter, warc
+from lodestone.llm import mixing, queries, sharding, tokens, url_filter, warc
 from lodestone.plans import scratch
 
 LONG = "<p>" + "payload " * 30
@@ -148,3 +150,76 @@ def test_mixing(spark):
     drawn = sum(r["n_tokens"] for r in got if r["selected"])
     assert abs(drawn - expected) < 0.1 * expected
     assert mixing.sample(docs.limit(0), PLAN).count() == 0
+
+
+def test_warc_keeps_what_is_there(spark):
+    folder = scratch.folder(spark)
+    manifest = warc.write(_pages(spark), folder)
+    with pytest.raises(ValueError):
+        warc.write(_pages(spark), folder)
+    file = Path(folder.removeprefix("file://")) / manifest.first()["file"]
+    file.write_bytes(file.read_bytes()[:-1] + b"x")
+    with pytest.raises(Exception, match="is not what the manifest lists"):
+        warc.read(manifest, folder).count()
+
+
+def test_warc_splits_a_hot_key(spark):
+    rows = [(k, "http://a", f"payload {i} " * 20) for k in (None, 3) for i in range(30)] + [(3, "http://a", "twice " * 20)] * 2 + [(9, "http://b", "x" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    folder = scratch.folder(spark)
+    manifest = warc.write(pages, folder, shard_bytes=2000)
+    by_file = manifest.groupBy("shard").sum("records").collect()
+    assert len(by_file) > 5
+    got = warc.read(manifest, folder).collect()
+    assert Counter(r["page_id"] for r in got) == {None: 30, 3: 32, 9: 1}
+    assert {r["payload_digest"] for r in got} == {hashlib.sha256(h.encode()).hexdigest() for *_, h in rows}
+    ids = [h["warc-record-id"] for f in Path(folder.removeprefix("file://")).glob("*.warc.gz") for h, _ in warc.parse(gzip.open(f))]
+    assert len(ids) == len(set(ids))
+
+
+def test_shards_by_key_and_digest():
+    bounds = [(None, 5), (2, -7), (2, 9), (4, 0)]
+    keys = pa.array([None, None, 1, 2, 2, 2, 3, 4, 4, 5])
+    ties = np.array([4, 5, 0, -8, -7, 9, 0, -1, 0, 0])
+    assert warc.shards_of(bounds, keys, ties).tolist() == [0, 1, 1, 1, 2, 3, 3, 3, 4, 4]
+
+
+def test_given_targets_and_gaps():
+    cells = [("a", "en", "g"), ("a", "fr", "g"), ("b", "en", "g")]
+    supply = np.array([100.0, 100.0, 100.0])
+    wanted = [{"a": 0.9, "b": 0.1}, {"en": 0.5, "fr": 0.5}, {"g": 1.0}]
+    drawn = mixing.rake(cells, supply, wanted, 0.5)
+    missed = mixing.gaps(cells, drawn, wanted, 150.0)
+    assert max(x for d in missed for x in d.values()) < 1e-6
+    short = mixing.rake(cells, np.array([10.0, 100.0, 100.0]), wanted, 0.9)  # not enough of a and en
+    assert max(x for d in mixing.gaps(cells, short, wanted, 0.9 * 210) for x in d.values()) > 0.1
+
+
+def test_mixing_query_by_brute_force(spark, tmp_path):
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma,", "delta.", "été"], r.integers(1, 40))) if i % 9 else " | ".join(["x"] * 30) for i in range(400)]
+    rows = [(i, t, ["en", "fr", "de", "es"][i % 4], f"src{i % 3}", i) for i, t in enumerate(texts)] + [(500, None, None, None, 0), (501, "", "en", "src0", 0)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op7_mixing(spark, str(tmp_path)).collect()}
+    encoder = tokens.Encoder(queries.tokenizer())
+    assert all(got[i]["n_tokens"] == len(encoder._tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t, *_ in rows)
+    assert got[500]["topic"] == got[501]["topic"] == "*" and got[500]["source"] == "*"
+    cell = lambda x: tuple(x[d] for d in mixing.DIMENSIONS)
+    supply = Counter()
+    for x in got.values():
+        supply[cell(x)] += x["n_tokens"]
+    total = sum(supply.values())
+    share = {c: next(x["probability"] for x in got.values() if cell(x) == c) for c in supply}
+    for d, name in enumerate(mixing.DIMENSIONS):
+        observed = Counter()
+        for c, n in supply.items():
+            observed[c[d]] += n
+        raised = {k: n ** queries.MIX.powers[name] for k, n in observed.items() if n}
+        for k, want in raised.items():
+            want *= total * queries.MIX.share / sum(raised.values())
+            have = sum(n * share[c] for c, n in supply.items() if c[d] == k)
+            gap = max(x["marginal_gap"] for x in got.values() if x[name] == k)
+            assert abs(have - want) <= (gap + 1e-6) * want
+    for i, x in got.items():
+        u = (int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        assert x["selected"] == (u < x["probability"])
