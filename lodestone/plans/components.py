@@ -21,7 +21,7 @@ def _attached(rows: DataFrame, least: DataFrame, ends: int, small: int) -> DataF
     """
     if ends <= small:
         return rows.join(F.broadcast(least.drop("d")), "u")
-    least = scratch.written(least)
+    least = scratch.written(least, narrow=True)
     heavy = F.col("d") > int(ends * _HEAVY)
     hubs = F.broadcast(least.filter(heavy).drop("d"))
     light = rows.join(hubs, "u", "left_anti").join(least.filter(~heavy).drop("d"), "u")
@@ -54,13 +54,13 @@ def connected_components(edges: DataFrame, small: int = SMALL_ROWS) -> DataFrame
     spark = edges.sparkSession
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path, before = scratch.folder(spark), None
-    now = scratch.written(now, path)
+    now = scratch.written(now, path, narrow=True)
     while True:
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u))")).first()
         if state == before or state[0] == 0:
             break
         last, before, path = path, state, scratch.folder(spark)
-        now = scratch.written(_step(now, state[0], small), path)
+        now = scratch.written(_step(now, state[0], small), path, narrow=True)
         scratch.remove(spark, last)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

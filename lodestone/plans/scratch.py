@@ -44,10 +44,20 @@ def folder(spark: SparkSession) -> str:
     return f"{of_application}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The same rows, read back from a table in the shared folder."""
+#: Files of a narrow table for each core of the cluster, at most.
+_FILES = 3
+
+
+def written(df: DataFrame, path: str | None = None, narrow: bool = False) -> DataFrame:
+    """The same rows, read back from a table in the shared folder.
+
+    A ``narrow`` table, of a few numbers a row, is written by a few tasks for each core rather
+    than one for each partition of a shuffle, which would make many tiny files of it.
+    """
     spark = df.sparkSession
     path = path or folder(spark)
+    if narrow:
+        df = df.coalesce(_FILES * spark.sparkContext.defaultParallelism)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
