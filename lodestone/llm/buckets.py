@@ -70,7 +70,7 @@ def shared(keyed: DataFrame, order: list[str]) -> DataFrame:
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema.fields]
     fields += [f"prev_{x}" for x in fields[1:]]
     dealt = keyed.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
-    return scratch.written(map_arrow(dealt, _runs, ", ".join(fields)))
+    return scratch.written(map_arrow(dealt, _runs, ", ".join(fields)), narrow=True)
 
 
 def neighbours(rows: DataFrame, salts: Sequence[int]) -> DataFrame:
@@ -91,7 +91,7 @@ def open_rows(rows: DataFrame, members: DataFrame) -> DataFrame:
     found = rows.drop("component", *(c for c in rows.columns if c.startswith("prev_"))).join(small(members), "node", "left")
     found = found.select("key", *(c for c in found.columns if c not in ("key", "component")), F.coalesce("component", "node").alias("component"))
     ends = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return scratch.written(found.join(ends.filter("low < high").select("key"), "key", "left_semi"))
+    return scratch.written(found.join(ends.filter("low < high").select("key"), "key", "left_semi"), narrow=True)
 
 
 def crossing(rows: DataFrame, near: Column) -> DataFrame:

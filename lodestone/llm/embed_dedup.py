@@ -88,7 +88,7 @@ def _cells(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     bottom, levels = [], []
     for level in range(LEVELS):
         sizes = rows.groupBy(*_CELL).agg(F.count("*").alias("size"))
-        large = scratch.written(sizes.filter(F.col("size") > BLOCK))
+        large = scratch.written(sizes.filter(F.col("size") > BLOCK), narrow=True)
         if large.isEmpty():
             break
         bottom.append(rows.join(small(large), _CELL, "left_anti").select(*_ROW))
@@ -132,7 +132,7 @@ def _cell_pairs(cells: DataFrame, levels: list[DataFrame], reach: float) -> Data
         split = F.col("cell_a_kid").isNotNull() & F.col("cell_b_kid").isNotNull()
         near = ~split | (_distance("centre_a_kid", "centre_b_kid") <= F.col("radius_a_kid") + F.col("radius_b_kid") + reach)
         once = (F.col("cell_a") != F.col("cell_b")) | (a <= b)
-        pairs = scratch.written(pairs.filter(once & near).select("label", "dim", a.alias("cell_a"), b.alias("cell_b")))
+        pairs = scratch.written(pairs.filter(once & near).select("label", "dim", a.alias("cell_a"), b.alias("cell_b")), narrow=True)
     return pairs
 
 

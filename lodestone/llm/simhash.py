@@ -121,8 +121,8 @@ def links(prints: DataFrame) -> DataFrame:
     """
     keyed = map_arrow(prints.select("fp"), _keys, "key bigint, node bigint")
     dealt = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = scratch.written(map_arrow(dealt, _pairs, "key bigint, a bigint, b bigint"))
-    first = scratch.written(found.filter("key is null").select("a", "b").distinct())
+    found = scratch.written(map_arrow(dealt, _pairs, "key bigint, a bigint, b bigint"), narrow=True)
+    first = scratch.written(found.filter("key is null").select("a", "b").distinct(), narrow=True)
     rows = found.filter("key is not null").select("key", F.col("a").alias("node"))
     rest = buckets.open_rows(rows, connected_components(first))
     return first.unionByName(buckets.crossing(rest, _close("a.node", "b.node")))
@@ -154,7 +154,7 @@ def without(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     stay if one of them does.
     """
     each = groups.filter("id is not null").groupBy("id").agg(F.every(F.col("id") != F.col("component")).alias("copy"))
-    copies = scratch.written(each.filter("copy").select(F.col("id").alias("__id")))
+    copies = scratch.written(each.filter("copy").select(F.col("id").alias("__id")), narrow=True)
     return docs.join(small(copies), F.col(id_col) == F.col("__id"), "left_anti")
 
 

@@ -131,7 +131,7 @@ def judge(
     ruled = members.join(match_rules(members, table), ["host", "path"]).join(linked, "node", "left")
     classes = ruled.groupBy(F.coalesce("component", "node").alias("class"))
     classes = classes.agg(F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_block"))
-    blocked = scratch.written(classes.filter("any_block and not any_allow").select("class", F.lit(True).alias("in_blocked")))
+    blocked = scratch.written(classes.filter("any_block and not any_allow").select("class", F.lit(True).alias("in_blocked")), narrow=True)
     judged = named.join(match_rules(named, table), ["host", "path"], "left").join(linked, "node", "left")
     judged = judged.withColumn("class", F.coalesce("component", "node")).join(small(blocked), "class", "left")
     allow = F.coalesce("allow", ~F.col("in_blocked"), F.lit(True))
