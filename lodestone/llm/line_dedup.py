@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.judged import free_names
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
 
@@ -156,7 +157,8 @@ def keep_bitmaps(
     if min_docs < 2:
         raise ValueError("min_docs must be two or more")
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    lines = map_arrow(narrow, _hashed(min_chars), "h1 bigint, h2 bigint, id bigint, places binary")
+    # Written, as the bounds of ranges are sampled from them: texts are hashed once.
+    lines = scratch.written(map_arrow(narrow, _hashed(min_chars), "h1 bigint, h2 bigint, id bigint, places binary"))
     ordered = lines.repartitionByRange("h1", "h2", F.desc("id"))
     ordered = ordered.sortWithinPartitions("h1", "h2", F.desc("id"))
     streamed = scratch.written(map_arrow(ordered, _streamed(min_docs), _STREAMED))
@@ -209,7 +211,11 @@ def _rewritten(at: int):
 
 
 def line_counts(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_lines, n_dropped, kept_sha256)`` of every row under its bitmap."""
+    """``(id, n_lines, n_dropped, kept_sha256)`` of every row under its bitmap.
+
+    Null and empty texts have one empty line; rows without a bitmap, null ids among them, keep
+    all theirs; repeated rows are counted each.
+    """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     joined = narrow.join(bitmaps, "id", "left").select("id", "text", "keep")
@@ -219,8 +225,9 @@ def line_counts(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", tex
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every column, their texts without the dropped lines.
 
-    A text that loses all its lines becomes empty; a null text stays null.
+    A text that loses all its lines becomes empty; a null text stays null.  Rows that repeat an
+    id lose lines alike, rows with a null id none; an empty table stays empty.
     """
-    keyed = bitmaps.withColumnRenamed("id", "__id").withColumnRenamed("keep", "__keep")
-    joined = docs.join(keyed, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    doc, keep = free_names(docs, 2)
+    joined = docs.join(bitmaps.toDF(doc, keep), F.col(id_col) == F.col(doc), "left").drop(doc)
     return map_arrow(joined, _rewritten(docs.columns.index(text_col)), docs.schema)

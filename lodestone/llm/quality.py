@@ -225,6 +225,24 @@ def joint_cutoffs(
     return found
 
 
+def evidence(told: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA, error: float = ERROR) -> DataFrame:
+    """``(stratum, n_good, false_bound)``: for each stratum how many labelled good documents pass
+    the base rule, and the bound on the share of such documents that its verdicts reject.
+
+    A stratum with too few labels for any cutoff has no rejection among them and a bound that is
+    above the allowance all the same.  One row for each stratum leaves the cluster.
+    """
+    clear = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.every(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"))
+    held = told.filter(~F.col("base_failed")).join(clear.filter("good").select(F.col("doc_id").alias("__doc")), F.col("__id") == F.col("__doc"), "left_semi")
+    seen = held.groupBy(_stratum(strata).alias("stratum")).agg(F.count("*").alias("n"), F.count_if(~F.col("kept")).alias("out")).collect()
+    found = {r["stratum"]: (r["n"], r["out"]) for r in seen}
+    rows = []
+    for stratum in (*strata, "*"):
+        n, out = found.get(stratum, (0, 0))
+        rows.append((stratum, n, upper_bound(out, n, error / (len(strata) + 1))))
+    return told.sparkSession.createDataFrame(rows, "stratum string, n_good bigint, false_bound double")
+
+
 def verdicts(
     counted: DataFrame,
     cutoffs: dict[tuple[str, str], float],
@@ -245,7 +263,8 @@ def _named(id_col: str, stratum_col: str) -> list[Column]:
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", certify: Callable = certified_cutoffs) -> DataFrame:
-    """``(doc_id, counts, base_failed, kept)`` for each row.
+    """``(doc_id, counts, base_failed, kept, stratum, n_good, false_bound)`` for each row, the
+    last two as of :func:`evidence`.
 
     A null or empty text has no words, fails the base rule and is not kept; its counts are zero.
     Rows with a null id are judged but never labelled; repeated rows are judged alike, and each
@@ -253,7 +272,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     counted = scratch.written(count_texts(docs, text_col, _named(id_col, stratum_col)))
     told = verdicts(counted, certify(counted, labels))
-    return told.withColumnRenamed("__id", "doc_id").drop("__stratum")
+    bounds = evidence(told, labels)  # a row for each stratum
+    out = told.withColumn("stratum", _stratum(STRATA)).join(F.broadcast(bounds), "stratum")
+    names = [c.split()[0] for c in COUNTS.split(", ")]
+    return out.select(F.col("__id").alias("doc_id"), *names, "base_failed", "kept", "stratum", "n_good", "false_bound")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", certify: Callable = certified_cutoffs) -> DataFrame:

@@ -58,11 +58,12 @@ def number_slots(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 
     Rows are range-partitioned by shard and order, so a shard spreads over as many partitions
     as it needs, and numbered inside partitions; counts of each (partition, shard), of which
-    there are fewer than partitions plus shards, give where a partition starts.  The
-    partitioned rows are written first: counts and numbers then see the same partitions.
-    Rows that tie in the whole order get slots in any order.
+    there are fewer than partitions plus shards, give where a partition starts.  Rows are written
+    before they are partitioned, as the bounds of ranges are sampled from them, and after: counts
+    and numbers then see the same partitions.  Rows that tie in the whole order get slots in any
+    order.
     """
-    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    tied = scratch.written(rows.withColumn("__tie", F.monotonically_increasing_id()), narrow=True)
     dealt = tied.repartitionByRange("shard", *order, "__tie").withColumn("__part", F.spark_partition_id())
     dealt = scratch.written(dealt)
     counts = dealt.groupBy("shard", "__part").agg(F.count("*").alias("__n"))

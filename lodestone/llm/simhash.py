@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm import buckets, fingerprints
+from lodestone.llm import buckets, fingerprints, judged
 from lodestone.plans import scratch
 from lodestone.plans.arrow import map_arrow
 from lodestone.plans.components import connected_components
-from lodestone.plans.size import small
 
 #: The distance that the bucket keys are made for.
 MAX_BITS = 3
@@ -154,8 +153,7 @@ def without(docs: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     stay if one of them does.
     """
     each = groups.filter("id is not null").groupBy("id").agg(F.every(F.col("id") != F.col("component")).alias("copy"))
-    copies = scratch.written(each.filter("copy").select(F.col("id").alias("__id")), narrow=True)
-    return docs.join(small(copies), F.col(id_col) == F.col("__id"), "left_anti")
+    return judged.without(docs, each.filter("copy").select("id"), [F.col(id_col)])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
