@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import contains_any, count_of, count_present, distinct_count, let, pieces, strip, text_of, total, word_count, words
 from lodestone.operators.clean import review_text
 from lodestone.operators.packs import SLOVAK_MARKETING, SLOVAK_PAYWALL, SLOVAK_REVIEW, MarketingPack, PaywallPack, ReviewPack
+from lodestone.plans.ranges import running_totals
 
 
 def points(condition: Column, value: float | Column) -> Column:
@@ -286,14 +287,14 @@ def exclusive_quartile(values: Column, quarter: int) -> Column:
 
 
 def value_quartiles(rows: DataFrame, value_col: str) -> DataFrame:
-    """One row (n, q1, q3): exclusive quartiles, null below four values.
+    """One row (n, median, q1, q3): the median, and exclusive quartiles, null below four values.
 
-    Values are counted first and ranks found on the distinct ones, so no group of all values is
-    ever gathered; only the count of values up to each distinct one is summed in order.
+    Values are counted first and ranks found on the distinct ones by running totals over ranges,
+    so neither all values nor all distinct ones are ever gathered.
     """
     counts = rows.filter(F.col(value_col).isNotNull()).groupBy(F.col(value_col).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    ranked = counts.withColumn("upto", F.expr("sum(k) over (order by v rows between unbounded preceding and current row)"))
-    n = counts.agg(F.sum("k").alias("n"))
+    ranked = running_totals(counts, "v", "k", "upto")
+    n = ranked.agg(F.sum("k").alias("n"))
     pick = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("v")))
 
     def quartile(q: int) -> Column:
@@ -303,7 +304,9 @@ def value_quartiles(rows: DataFrame, value_col: str) -> DataFrame:
         return (pick(j) * (4 - F.max(rest)) + pick(j + 1) * F.max(rest)) / 4.0
 
     joined = ranked.crossJoin(F.broadcast(n))  # one row
-    return joined.agg(F.max("n").alias("n"), F.when(F.max("n") >= 4, quartile(1)).alias("q1"), F.when(F.max("n") >= 4, quartile(3)).alias("q3"))
+    median = (pick(F.expr("(n + 1) div 2")) + pick(F.expr("(n + 2) div 2"))) / 2.0
+    some = F.max("n") >= 4
+    return joined.agg(F.max("n").alias("n"), median.alias("median"), F.when(some, quartile(1)).alias("q1"), F.when(some, quartile(3)).alias("q3"))
 
 
 def corpus_stats(articles: DataFrame) -> DataFrame:
@@ -312,7 +315,6 @@ def corpus_stats(articles: DataFrame) -> DataFrame:
         F.count("*").alias("articles"),
         F.sum("word_count").cast("bigint").alias("total_words"),
         F.avg("word_count").alias("mean"),
-        F.median("word_count").alias("median"),
         F.stddev_samp("word_count").alias("stdev"),
         F.min("word_count").alias("min"),
         F.max("word_count").alias("max"),
