@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -37,3 +38,9 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
     """``df.mapInArrow`` for a function of this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def table(spark: SparkSession, rows: Sequence[tuple], **kinds: pa.DataType) -> DataFrame:
+    """A small table of the driver's rows, handed over by Arrow: no Python worker reads it."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return spark.createDataFrame(pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)}))
