@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.arrow import map_arrow
+from lodestone.plans.arrow import map_arrow, table
 from lodestone.plans.size import small
 
 BUCKET_BITS = 15
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, place: Column, text_col: str = "text", lang_col: str =
     scale = float(1 << 32)
     # One row for each language: as many as the model has columns.
     shares = [(r["lang"], math.ceil(scale * min(1.0, each / r["n"]))) for r in sizes]
-    below = docs.sparkSession.createDataFrame(shares, "lang string, below bigint")
+    below = table(docs.sparkSession, shares, lang=pa.string(), below=pa.int64())
     chosen = rows.join(small(below), "lang").filter("place < below").select("place", "lang", "text")
     sample = map_arrow(chosen, _examples, "place bigint, lang string, at binary, counts binary")
     examples = [

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import judged
 from lodestone.plans import scratch
-from lodestone.plans.arrow import map_arrow
+from lodestone.plans.arrow import map_arrow, table
 
 WINDOW_WORDS, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 SYMBOLS = "#*$%&|<>"
@@ -156,10 +156,10 @@ def certified_cutoffs(
     held = counted.filter(~base_failed()).join(good, F.col("__id") == F.col("__doc"), "left_semi")
     held = held.withColumn("stratum", _stratum(strata))
     above = [F.count_if(_ratio(r) > c).alias(f"{r[0]}_{i}") for r in RULES for i, c in enumerate(CUTOFFS)]
-    table = held.groupBy("stratum").agg(F.count("*").alias("n"), *above).collect()
+    seen = held.groupBy("stratum").agg(F.count("*").alias("n"), *above).collect()
     each = error / (len(RULES) * (len(strata) + 1))
     found = {}
-    for row in table:
+    for row in seen:
         for rule in RULES:
             for i, cutoff in enumerate(CUTOFFS):
                 if upper_bound(row[f"{rule[0]}_{i}"], row["n"], each) > max_false / len(RULES):
@@ -240,7 +240,7 @@ def evidence(told: DataFrame, labels: DataFrame, strata: Sequence[str] = STRATA,
     for stratum in (*strata, "*"):
         n, out = found.get(stratum, (0, 0))
         rows.append((stratum, n, upper_bound(out, n, error / (len(strata) + 1))))
-    return told.sparkSession.createDataFrame(rows, "stratum string, n_good bigint, false_bound double")
+    return table(told.sparkSession, rows, stratum=pa.string(), n_good=pa.int64(), false_bound=pa.float64())
 
 
 def verdicts(

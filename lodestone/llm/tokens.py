@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 #: Words kept at once; further ones are encoded each time, which changes no result.  A word is
 #: kept when it comes a second time: most words of a corpus come once.
-CACHED_WORDS, _DOOR = 300_000, (1 << 22) - 1
+CACHED_WORDS, _DOOR = 250_000, (1 << 22) - 1
 _LATIN = [chr(i) for i in range(256)]
 _LOWER = bytes(ord(c.lower()) for c in _LATIN)
 _PROSE = bytes(i for i, c in enumerate(_LATIN) if c.isalpha() or c in "0123456789 \t\n\r\x0b\x0c.,")

@@ -11,10 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.plans import scratch
+from lodestone.plans.arrow import table
 from lodestone.plans.components import connected_components
 from lodestone.plans.size import small
 
@@ -118,7 +120,7 @@ def judge(
     alike; an empty table gives none.
     """
     spark = pages.sparkSession
-    table = spark.createDataFrame([tuple(r) for r in rules], "rule_host string, rule_path string, allow boolean")
+    ruling = table(spark, [tuple(r) for r in rules], rule_host=pa.string(), rule_path=pa.string(), allow=pa.bool_())
     parts = lambda url: (host(url).alias("host"), path(url).alias("path"), node(url).alias("node"))
     named = pages.select(F.col(id_col).alias("page_id"), *parts(F.col(url_col)))
     ends = page_links(pages, url_col, html_col)
@@ -128,11 +130,11 @@ def judge(
     linked = small(connected_components(ends.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b"))))
     met = ends.select(F.explode(F.array("a", "b")).alias("url")).select(*parts(F.col("url")))
     members = named.filter("node is not null").select("host", "path", "node").unionByName(met).distinct()
-    ruled = members.join(match_rules(members, table), ["host", "path"]).join(linked, "node", "left")
+    ruled = members.join(match_rules(members, ruling), ["host", "path"]).join(linked, "node", "left")
     classes = ruled.groupBy(F.coalesce("component", "node").alias("class"))
     classes = classes.agg(F.bool_or("allow").alias("any_allow"), F.bool_or(~F.col("allow")).alias("any_block"))
     blocked = scratch.written(classes.filter("any_block and not any_allow").select("class", F.lit(True).alias("in_blocked")), narrow=True)
-    judged = named.join(match_rules(named, table), ["host", "path"], "left").join(linked, "node", "left")
+    judged = named.join(match_rules(named, ruling), ["host", "path"], "left").join(linked, "node", "left")
     judged = judged.withColumn("class", F.coalesce("component", "node")).join(small(blocked), "class", "left")
     allow = F.coalesce("allow", ~F.col("in_blocked"), F.lit(True))
     return judged.select("page_id", "host", "path", "rule", F.when(allow, "allow").otherwise("block").alias("verdict"))
