@@ -44,35 +44,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, written and read back.  Null html is an empty payload; null
+    ids are records that none refer to; an empty table has no records."""
     folder = scratch.folder(spark)
     manifest = warc.write(_table(spark, sf_dir, "pages"), folder)
     return warc.read(manifest, folder).drop("url", "file")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that three documents or more hold, kept in the largest id only.  Null and empty texts
+    have one empty line; a null id neither counts nor loses lines; rows that repeat an id are one document."""
     docs = _table(spark, sf_dir, "documents")
     return line_dedup.line_counts(docs, line_dedup.keep_bitmaps(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page.  Null URLs, and those without ``://``, have an empty host
+    and path and are allowed; repeated rows are judged alike."""
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document.  Null and wordless texts have fingerprint zero; a
+    null id never names a group; repeated rows come out as often as they come in."""
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     print16 = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return groups.select(F.col("id").alias("doc_id"), print16, F.col("component").alias("component_id"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by rendezvous hashing of its id, equal weights.  A null text
+    has no bytes; null ids are one key; rows that tie in id, CRC and size get slots in any order."""
     return sharding.shard_records(_table(spark, sf_dir, "documents"), [1.0] * SHARDS, [1.0])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their windows.  Null and empty texts are their end id alone;
+    repeated rows are packed each."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cell, tokens, probability and draw of every document.  Null and unlisted categories share one
+    cell of their dimension; texts without tokens have no topic; repeated ids of one cell are drawn alike."""
     docs = _table(spark, sf_dir, "documents")
     weighed = mixing.weigh(docs, MIX, topics.fit(docs, tokenizer()))
     cell = [F.col(f"c_{d}").alias(d) for d in mixing.DIMENSIONS]
@@ -80,18 +94,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors.  Null, zero and non-finite vectors and those without a label
+    link with nothing; rows that repeat an id are vectors of their own."""
     return embed_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document.  Null texts, and those without a letter, are ``und``; a null
+    id is neither held out nor learned from."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document under jointly certified cutoffs.  Null and empty texts
+    fail the base rule; null ids are judged but never labelled; null languages are the stratum of the rest."""
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), certify=quality.joint_cutoffs)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the pipeline makes of all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
