@@ -29,7 +29,9 @@ from lodestone.plans.arrow import map_arrow
 
 WINDOW, END_ID = 4096, 2
 #: A shard is closed at so many documents or tokens, whichever comes first.
-SHARD_DOCS, SHARD_TOKENS, CLUSTERS = 4096, 4_000_000, 128
+SHARD_DOCS, SHARD_TOKENS, CLUSTERS = 2048, 4_000_000, 64
+#: Neighbours that are sorted at first; where a window takes more, all are.
+_FIRST = 48
 K1, B = 1.2, 0.75
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -111,13 +113,24 @@ class Index:
         """The score of every document for the terms of one of them, over their whole postings."""
         terms = self._of[self._at[doc] : self._at[doc + 1]]
         row = self._row[terms]
-        found = self._rows[row[row >= 0]].sum(axis=0, dtype=np.float64)
+        found = self._rows[row[row >= 0]].sum(axis=0)
         terms = terms[row < 0]
         start, count = self._start[terms], self._count[terms]
         places = np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
         return found + np.bincount(self.docs[places], self.weights[places], self.size)
 
 
+def _ranked(scores: np.ndarray) -> Iterator[int]:
+    """The documents from the highest score down, of equal ones the first."""
+    n = len(scores)
+    few = np.arange(n)
+    if n > 4 * _FIRST:
+        few = np.flatnonzero(scores >= np.partition(scores, n - _FIRST)[n - _FIRST])
+    yield from few[np.argsort(-scores[few], kind="stable")].tolist()
+    if len(few) < n:
+        yield from np.argsort(-scores, kind="stable")[len(few) :].tolist()
+
+
 class Packer:
     """Fills windows shard by shard; ``emit`` gets (document, start, length, sequence, offset)."""
 
@@ -154,7 +167,7 @@ class Packer:
             rest = None
             scores = np.where(unused, index.scores(seed), -1.0)
             window = self.sequence
-            for neighbour in np.argsort(-scores, kind="stable").tolist():
+            for neighbour in _ranked(scores):
                 if scores[neighbour] <= 0:
                     break
                 unused[neighbour] = False

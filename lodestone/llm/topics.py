@@ -133,6 +133,7 @@ def fit(docs: DataFrame, tokenizer: str, count: int = TOPICS, id_col: str = "doc
     lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string")
     picked = docs.select(place.alias("place"), lang.alias("lang"), F.col(text_col).alias("text"))
     picked = picked.filter((F.col("place") < int(share * (1 << 30))) & F.col("text").isNotNull())
+    picked = picked.coalesce(docs.sparkSession.sparkContext.defaultParallelism)  # few documents of each partition
     found = map_arrow(picked, _examples(tokenizer), "place bigint, lang string, at binary, counts binary")
     rows = found.filter("length(at) > 0").orderBy("place", "lang", "at", "counts").limit(SAMPLE_DOCS).collect()
     return learn([(r["lang"], np.frombuffer(r["at"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in rows], tokenizer, count, lang_col is not None)
