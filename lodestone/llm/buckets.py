@@ -7,12 +7,15 @@ row has, each with the row before it.  Neighbours in that order, and in random o
 other pair that matters: of nodes that share a key but no component yet, out of the rows that
 :func:`open_rows` leaves.  A key all of whose nodes are in one component gives no pairs, so a
 group of like nodes costs a few pairs for each of its rows and not the square of its size.
+:func:`settled` compares the rows of a key where they lie, so that only pairs worth keeping ever
+become rows; what is too long for one task, or cut by its edge, comes back for :func:`crossing`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -73,6 +76,67 @@ def shared(keyed: DataFrame, order: list[str]) -> DataFrame:
     return scratch.written(map_arrow(dealt, _runs, ", ".join(fields)), narrow=True)
 
 
+Compare = Callable[[pa.RecordBatch], tuple[list[int], list[int]]]
+#: Rows of a key whose pairs are all compared in its task; longer runs are split.
+LONG_RUN = 20_000
+
+
+def settling(compare: Compare, long_run: int):
+    """Rows sorted by key as pairs ``(a, b)``, the other columns null, of what ``compare`` finds in
+    runs of equal keys; and, with null pairs, the rows of runs that are not settled here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: pa.RecordBatch, a: list[int] | None, b: list[int] | None) -> pa.RecordBatch:
+            n = len(rows) if a is None else len(a)
+            own = rows.columns if a is None else [pa.nulls(n, c.type) for c in rows.columns]
+            ends = [pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([*own, *ends], [*rows.schema.names, "a", "b"])
+
+        held: pa.RecordBatch | None = None  # a run that may go on
+        unsettled = None  # a key whose rows are all left: the partition's first, or a long run's
+        for batch in batches:
+            if not len(batch):
+                continue
+            if unsettled is None:
+                unsettled = batch.column(0)[0].as_py()
+            rows = batch if held is None or not len(held) else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            keys = rows.column(0).to_numpy()
+            if at := int(np.searchsorted(keys, unsettled, side="right")):
+                yield made(rows.slice(0, at), None, None)
+                rows, keys = rows.slice(at), keys[at:]
+            held = rows.slice(0, 0)
+            if not len(rows):
+                continue
+            last = int(np.searchsorted(keys, keys[-1]))
+            done, held = rows.slice(0, last), rows.slice(last)
+            starts = np.flatnonzero(np.r_[True, keys[1:last] != keys[: last - 1]]) if last else np.zeros(0, np.int64)
+            sizes = np.diff(np.r_[starts, last])
+            long = np.repeat(sizes > long_run, sizes)
+            if long.any():
+                yield made(done.filter(pa.array(long)), None, None)
+                done = done.filter(pa.array(~long))
+            if len(done):
+                yield made(done, *compare(done))
+            if len(held) > long_run:
+                unsettled = int(keys[-1])
+                yield made(held, None, None)
+                held = rows.slice(0, 0)
+        if held is not None and len(held):
+            yield made(held, None, None)
+
+    return run
+
+
+def settled(rows: DataFrame, order: list[str], compare: Compare, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` of what ``compare`` finds among the rows of each key, and the columns ``keep`` of
+    the rows of keys that are not settled."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
+    dealt = rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
+    found = map_arrow(dealt, settling(compare, LONG_RUN), ", ".join([*fields, "a bigint", "b bigint"]))
+    found = scratch.written(found.select("a", "b", *keep), narrow=True)
+    return found.filter("a is not null").select("a", "b"), found.filter("a is null").select(*keep)
+
+
 def neighbours(rows: DataFrame, salts: Sequence[int]) -> DataFrame:
     """The rows with ``prev_`` columns as of :func:`shared`, once for each salt, in an order of a
     key's rows that the salt makes; rows without a neighbour are left out."""

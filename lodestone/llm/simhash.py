@@ -25,8 +25,6 @@ from lodestone.plans.components import connected_components
 
 #: The distance that the bucket keys are made for.
 MAX_BITS = 3
-#: Rows of a bucket whose pairs are all compared in its task; longer ones are split.
-LONG_RUN = 20_000
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,8 +45,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], ["key", "node"])
 
 
-def _linked(keys: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int]]:
-    """A spanning forest of the close pairs within each run of equal keys."""
+def linked(rows: pa.RecordBatch) -> tuple[list[int], list[int]]:
+    """A spanning forest of the close pairs within each run of equal keys (key, node)."""
+    keys, nodes = (c.to_numpy() for c in rows.columns)
     label, a, b = np.arange(len(keys)), [], []
     for lag in range(1, len(keys)):
         same = keys[lag:] == keys[:-lag]
@@ -66,48 +65,6 @@ def _linked(keys: np.ndarray, nodes: np.ndarray) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, a, b): a close pair of a run, key null; or a row of a run that is not settled
-    here, b null."""
-
-    def made(keys: list, a: list, b: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, a, b)], ["key", "a", "b"])
-
-    def left(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        return made(keys.tolist(), nodes.tolist(), [None] * len(keys))
-
-    keys, nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    unsettled = None  # a key whose rows are all left: the partition's first, or a long run's
-    for batch in batches:
-        if not len(batch):
-            continue
-        if unsettled is None:
-            unsettled = batch.column(0)[0].as_py()
-        keys = np.concatenate((keys, batch.column(0).to_numpy()))
-        nodes = np.concatenate((nodes, batch.column(1).to_numpy()))
-        if at := int(np.searchsorted(keys, unsettled, side="right")):
-            yield left(keys[:at], nodes[:at])
-            keys, nodes = keys[at:], nodes[at:]
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys, keys[-1]))  # the run that may go on
-        done, rest = (keys[:last], nodes[:last]), (keys[last:], nodes[last:])
-        starts = np.flatnonzero(np.r_[True, done[0][1:] != done[0][:-1]]) if last else np.zeros(0, np.int64)
-        sizes = np.diff(np.r_[starts, last])
-        long = np.repeat(sizes > LONG_RUN, sizes)
-        if long.any():
-            yield left(done[0][long], done[1][long])
-        a, b = _linked(done[0][~long], done[1][~long])
-        yield made([None] * len(a), a, b)
-        keys, nodes = rest
-        if len(keys) > LONG_RUN:
-            unsettled = int(keys[-1])
-            yield left(keys, nodes)
-            keys, nodes = keys[:0], nodes[:0]
-    if len(keys):
-        yield left(keys, nodes)
-
-
 def _close(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
@@ -119,10 +76,8 @@ def links(prints: DataFrame) -> DataFrame:
     Not every pair is listed: those inside a component that others connect are left out.
     """
     keyed = map_arrow(prints.select("fp"), _keys, "key bigint, node bigint")
-    dealt = keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    found = scratch.written(map_arrow(dealt, _pairs, "key bigint, a bigint, b bigint"), narrow=True)
-    first = scratch.written(found.filter("key is null").select("a", "b").distinct(), narrow=True)
-    rows = found.filter("key is not null").select("key", F.col("a").alias("node"))
+    found, rows = buckets.settled(keyed, ["node"], linked, ["key", "node"])
+    first = scratch.written(found.distinct(), narrow=True)
     rest = buckets.open_rows(rows, connected_components(first))
     return first.unionByName(buckets.crossing(rest, _close("a.node", "b.node")))
 

@@ -81,34 +81,48 @@ def test_runs_across_batches(size):
     assert all(r["prev_node"] == (i - 1 if i and keys[i - 1] == keys[i] else None) for r, i in zip(got, twice, strict=True))
 
 
+def _labels(nodes, edges):
+    label = {int(n): int(n) for n in nodes}
+    while True:
+        new = dict(label)
+        for p, q in edges:
+            new[p] = new[q] = min(new[p], new[q])
+        if new == label:
+            return label
+        label = new
+
+
 @pytest.mark.parametrize("long_run", [3, 1000])
 @pytest.mark.parametrize("size", [1, 5, 1000])
-def test_bucket_pairs_connect_what_brute_force_does(monkeypatch, long_run, size):
-    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+def test_bucket_pairs_connect_what_brute_force_does(long_run, size):
     r = np.random.default_rng(5)
     centres = r.integers(0, 2**63, 6)
     nodes = np.unique([int(c) ^ (1 << int(r.integers(0, 60))) ^ (1 << int(r.integers(0, 60))) for c in centres for _ in range(9)])
     rows = sorted({(int(k), int(n)) for n in nodes for k in r.integers(0, 8, 4)})
     batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)], ["key", "node"])
-    out = [x for b in simhash._pairs(batch.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
-    left = {(x["key"], x["a"]) for x in out if x["b"] is None}
-    pairs = {(x["a"], x["b"]) for x in out if x["b"] is not None}
+    run = buckets.settling(simhash.linked, long_run)
+    out = [x for b in run(batch.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
+    left = {(x["key"], x["node"]) for x in out if x["a"] is None}
+    pairs = {(x["a"], x["b"]) for x in out if x["a"] is not None}
     close = lambda p, q: (p ^ q).bit_count() <= 3
-    assert all(close(p, q) for p, q in pairs)
+    assert all(close(p, q) for p, q in pairs) and all(x["key"] is None for x in out if x["a"] is not None)
     pairs |= {(p, q) for k, p in left for j, q in left if j == k and p < q and close(p, q)}
     by_key = {}
     for k, n in rows:
         by_key.setdefault(k, []).append(n)
     want = {(p, q) for each in by_key.values() for p in each for q in each if p < q and close(p, q)}
-
-    def labels(edges):
-        label = {int(n): int(n) for n in nodes}
-        while True:
-            new = dict(label)
-            for p, q in edges:
-                new[p] = new[q] = min(new[p], new[q])
-            if new == label:
-                return label
-            label = new
-
-    assert labels(pairs) == labels(want) and len(want) > 10
+    assert _labels(nodes, pairs) == _labels(nodes, want) and len(want) > 10
+
+
+def test_runs_of_sketches_lose_no_pair():
+    r = np.random.default_rng(6)
+    base = [np.unique(r.integers(0, 2**63, k, dtype=np.uint64)) for k in (40, 70, 130, 600)]
+    sets = [np.unique(np.concatenate((x[r.random(len(x)) > 0.06], r.integers(0, 2**63, len(x) // 16, dtype=np.uint64)))) for x in base for _ in range(12)]
+    rows = sorted(((key, len(x), i, 0, i // 2, near_copies.sketch(x)) for key in (1, 2) for i, x in enumerate(sets)), key=lambda x: (x[0], x[2]))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    names = ["key", "n", "node", "place", "component", "sketch"]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    got = set(zip(*near_copies.crossed(batch), strict=True))
+    similar = lambda x, y: 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y))
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if i // 2 != j // 2 and similar(sets[i], sets[j])}
+    assert want <= got and len(got) < len(sets) ** 2 / 3 and len(want) > 50
