@@ -81,9 +81,10 @@ Compare = Callable[[pa.RecordBatch], tuple[list[int], list[int]]]
 LONG_RUN = 20_000
 
 
-def settling(compare: Compare, long_run: int):
+def settling(compare: Compare, long_run: int, whole: bool = False):
     """Rows sorted by key as pairs ``(a, b)``, the other columns null, of what ``compare`` finds in
-    runs of equal keys; and, with null pairs, the rows of runs that are not settled here."""
+    runs of equal keys; and, with null pairs, the rows of runs that are not settled here: those
+    that are too long, and unless keys are ``whole`` the partition's first and last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: pa.RecordBatch, a: list[int] | None, b: list[int] | None) -> pa.RecordBatch:
@@ -97,11 +98,11 @@ def settling(compare: Compare, long_run: int):
         for batch in batches:
             if not len(batch):
                 continue
-            if unsettled is None:
+            if unsettled is None and not whole:
                 unsettled = batch.column(0)[0].as_py()
             rows = batch if held is None or not len(held) else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             keys = rows.column(0).to_numpy()
-            if at := int(np.searchsorted(keys, unsettled, side="right")):
+            if unsettled is not None and (at := int(np.searchsorted(keys, unsettled, side="right"))):
                 yield made(rows.slice(0, at), None, None)
                 rows, keys = rows.slice(at), keys[at:]
             held = rows.slice(0, 0)
@@ -122,19 +123,28 @@ def settling(compare: Compare, long_run: int):
                 yield made(held, None, None)
                 held = rows.slice(0, 0)
         if held is not None and len(held):
-            yield made(held, None, None)
+            yield made(held, *(compare(held) if whole else (None, None)))
 
     return run
 
 
 def settled(rows: DataFrame, order: list[str], compare: Compare, keep: list[str]) -> tuple[DataFrame, DataFrame]:
     """``(a, b)`` of what ``compare`` finds among the rows of each key, and the columns ``keep`` of
-    the rows of keys that are not settled."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields]
-    dealt = rows.repartitionByRange("key", *order).sortWithinPartitions("key", *order)
-    found = map_arrow(dealt, settling(compare, LONG_RUN), ", ".join([*fields, "a bigint", "b bigint"]))
+    the rows of keys that are not settled.
+
+    Rows that tell the ``size`` of their key are dealt by keys, but for those of longer runs, which
+    are left at once; others are range-partitioned, and runs at the edges of partitions are left.
+    """
+    told = "size" in rows.columns
+    short = rows.filter(F.col("size") <= LONG_RUN).drop("size") if told else rows
+    dealt = short.repartition("key") if told else short.repartitionByRange("key", *order)
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in short.schema.fields]
+    found = map_arrow(dealt.sortWithinPartitions("key", *order), settling(compare, LONG_RUN, told), ", ".join([*fields, "a bigint", "b bigint"]))
     found = scratch.written(found.select("a", "b", *keep), narrow=True)
-    return found.filter("a is not null").select("a", "b"), found.filter("a is null").select(*keep)
+    left = found.filter("a is null").select(*keep)
+    if told:
+        left = left.unionByName(rows.filter(F.col("size") > LONG_RUN).select(*keep))
+    return found.filter("a is not null").select("a", "b"), left
 
 
 def neighbours(rows: DataFrame, salts: Sequence[int]) -> DataFrame:
@@ -150,12 +160,13 @@ def neighbours(rows: DataFrame, salts: Sequence[int]) -> DataFrame:
 
 
 def open_rows(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows, with ``component``, of keys whose nodes lie in several components; ``members``
-    are ``(node, component)``, and other nodes are components of their own.  Written."""
-    found = rows.drop("component", *(c for c in rows.columns if c.startswith("prev_"))).join(small(members), "node", "left")
+    """The rows, with ``component`` and the ``size`` of their key, of keys whose nodes lie in
+    several components; ``members`` are ``(node, component)``, and other nodes are components of
+    their own.  Written."""
+    found = rows.drop("component", "size", *(c for c in rows.columns if c.startswith("prev_"))).join(small(members), "node", "left")
     found = found.select("key", *(c for c in found.columns if c not in ("key", "component")), F.coalesce("component", "node").alias("component"))
-    ends = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return scratch.written(found.join(ends.filter("low < high").select("key"), "key", "left_semi"), narrow=True)
+    ends = found.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    return scratch.written(found.join(ends.filter("low < high").select("key", "size"), "key"), narrow=True)
 
 
 def crossing(rows: DataFrame, near: Column) -> DataFrame:
