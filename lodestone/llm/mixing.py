@@ -132,11 +132,13 @@ def uniform(key: Column) -> Column:
     return (F.conv(F.substring(digest, 1, _HEX), 16, 10).cast("double") + 0.5) / float(16**_HEX)
 
 
-def _celled(docs: DataFrame, plan: Plan, model: topics.Model | None, id_col: str, text_col: str, carry: Sequence[Column]) -> DataFrame:
+def _celled(docs: DataFrame, plan: Plan, model: topics.Model | str | None, id_col: str, text_col: str, carry: Sequence[Column]) -> DataFrame:
     """Tokens, cell and number of each row; texts are read here and nowhere else."""
     own = [plan.cell("source").alias("c_source"), plan.cell("lang").alias("c_lang"), uniform(F.col(id_col)).alias("__u"), *carry]
     if model is None:
         told = docs.select(tokens(F.col(text_col)).alias("n_tokens"), topic(F.col(text_col)).alias("topic"), *own)
+    elif isinstance(model, str):
+        _, told = topics.clusters(docs, model, plan.categories["lang"], own, id_col=id_col, text_col=text_col)
     else:
         told = topics.tell(docs, model, own, text_col)
     named = F.when(F.col("topic").isin(*plan.categories["topic"]), F.col("topic")).otherwise(REST)
@@ -151,18 +153,19 @@ def _drawn(celled: DataFrame, plan: Plan) -> DataFrame:
     return weighed.withColumn("selected", F.col("__u") < F.col("probability")).drop("__u")
 
 
-def weigh(docs: DataFrame, plan: Plan, model: topics.Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, plan: Plan, model: topics.Model | str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, c_source, c_lang, c_topic, probability, gap, selected)`` for each row.
 
-    With a model, tokens are its tokenizer's and topics its clusters; without one they are words
-    and :func:`topic`.  Documents need ``source`` and ``lang``; null and unlisted categories
+    With a model, tokens are its tokenizer's and topics its clusters; with a tokenizer's path in its
+    place the clusters are learned from all these documents; without one they are words and
+    :func:`topic`.  Documents need ``source`` and ``lang``; null and unlisted categories
     share one cell.  Texts without tokens follow their cell's probability.  Repeated ids are
     drawn alike where their cells are, null ids as one id; an empty table gives no rows.
     """
     return _drawn(_celled(docs, plan, model, id_col, text_col, [F.col(id_col).alias("id")]), plan)
 
 
-def sample(docs: DataFrame, plan: Plan, model: topics.Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, plan: Plan, model: topics.Model | str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The drawn documents, with all their columns, as :func:`weigh` decides on each row."""
     keys = [F.col(id_col), F.col("source"), F.col("lang"), judged.text_key(text_col)]
     carry = [k.alias(f"__key{i}") for i, k in enumerate(keys)]

@@ -88,7 +88,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, tokens, probability and draw of every document.  Null and unlisted categories share one
     cell of their dimension; texts without tokens have no topic; repeated ids of one cell are drawn alike."""
     docs = _table(spark, sf_dir, "documents")
-    weighed = mixing.weigh(docs, MIX, topics.fit(docs, tokenizer()))
+    weighed = mixing.weigh(docs, MIX, tokenizer())
     cell = [F.col(f"c_{d}").alias(d) for d in mixing.DIMENSIONS]
     return weighed.select(F.col("id").alias("doc_id"), *cell, "n_tokens", "probability", F.col("gap").alias("marginal_gap"), "selected")
 

@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import packing, quality, topics
+from lodestone.llm import packing, quality, queries, tokens, topics
 
 STAGES = dict(corpus_pipeline.STAGES)
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, node int, kept boolean, __id int, component int"
@@ -165,3 +166,52 @@ def test_topics_split_what_differs():
     found = {(kind, model.number(ids, lang)) for kind, lang, ids in made}
     assert len(found) == 3 and len({t for _, t in found}) == 3
     assert model.number(np.zeros(0, int)) is None and topics.learn([], "").number(made[0][2]) is None
+
+
+def test_topics_are_learned_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(topics, "SAMPLE_DOCS", 3)  # a sample would not meet each subject
+    r = np.random.default_rng(6)
+    kinds = [[f"{c}{d}" for c in "bcdfg" for d in x] for x in ("aei", "ouy", "hjk", "lmn")]
+    rows = [(i, " ".join(r.choice(kinds[i % 4], 60)), ["en", "xx", None][i % 3], i % 4) for i in range(200)]
+    rows += [(None, rows[1][1], "en", 1), (3, rows[3][1], None, 3), (900, None, "en", 9), (901, "", None, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, kind int")
+    models = []
+    for parts in (1, 7):
+        model, told = topics.clusters(df.repartition(parts), queries.tokenizer(), ["en", "fr"], [F.col("kind").alias("of"), F.col("text")], 4)
+        got = told.collect()
+        assert len(got) == len(rows)
+        found = {(x["of"], x["topic"]) for x in got}
+        assert (9, None) in found and len(found) == 5 and {t for _, t in found} == {None, *topics.names(4)}
+        encoder = tokens.encoder(queries.tokenizer())
+        assert all(x["topic"] is None or x["n_tokens"] == len(encoder.encode(x["text"])) for x in got)
+        models.append(model)
+    # One model whatever the partitions, of the frequencies of all texts.
+    assert (models[0].centres == models[1].centres).all() and set(models[0].offsets) == {"en", "fr", None}
+    seen = np.zeros(1 << topics.BITS)
+    for _, text, *_ in rows[:202]:
+        seen[topics._counts(encoder.encode(text))[0]] += 1
+    assert np.allclose(models[0].idf, np.log(203 / (1 + seen)))
+    # Every document is at its nearest centre, and centres are the directions of their documents.
+    values = np.zeros((202, 1 << topics.BITS))
+    for row, (_, text, *_) in zip(values, rows, strict=False):
+        at, counts = topics._counts(encoder.encode(text))
+        row[at] = models[0].values(at, counts)
+    english = np.array([x[2] == "en" for x in rows[:202]])
+    for same in (english, ~english):
+        values[same] -= values[same].mean(axis=0)
+    values /= np.linalg.norm(values, axis=1, keepdims=True)
+    of = (values @ models[0].centres).argmax(axis=1)
+    for j in range(4):
+        centre = values[of == j].sum(axis=0)
+        assert np.allclose(centre / np.linalg.norm(centre), models[0].centres[:, j], atol=1e-4)
+    few, told = topics.clusters(df.limit(0), queries.tokenizer(), ["en"], [F.col("doc_id")])
+    assert told.count() == 0 and few.centres.shape[1] == 0
+
+
+def test_mixing_learns_topics_from_all_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(topics, "fit", lambda *_: pytest.fail("learned from a sample"))
+    rows = [(i, f"{['sun moon', 'tax law', 'salt oil'][i % 3]} word{i % 7} " * 5, "en", "src0", 1) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == 60 and all(r["topic"] in topics.names() for r in got)
+    assert STAGES["mixing"](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count() <= 60
