@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import html, urls
 from lodestone.operators import chunk, entities, reports, scoring, search
+from lodestone.plans import components
 from lodestone.plans.components import connected_components
 from lodestone.sources import pdf, readers, writers
 
@@ -141,3 +142,16 @@ def test_models_as_hooks(spark):
     assert chunk.semantic_chunks(df, load=sizes, largest=8, amount=10.0).filter("article_id = 1").count() > 1
     named = entities.statistical_entities(df.select(F.col("doc_id").alias("chunk_id"), F.col("content").alias("text")), first_word).collect()
     assert [tuple(r) for r in named] == [(1, "One", "SPACY_ORG", 0, 1, 0.7)]
+
+
+def test_a_small_graph_takes_few_queries(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(200)] + [(i + 7, i) for i in range(300, 700, 7)] + [(5, 5), (None, 3), (-4, 900)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(5)
+    made, written = [], components.scratch.written
+    monkeypatch.setattr(components.scratch, "written", lambda *a, **k: made.append(1) or written(*a, **k))
+    by_rounds = {tuple(x) for x in components.connected_components(df, 0).collect()}
+    rounds = len(made)
+    at_once = components.connected_components(df).collect()
+    assert {tuple(x) for x in at_once} == by_rounds and len(at_once) == len(by_rounds)
+    assert len(made) - rounds == 2 < rounds  # the edges and their components, however many rounds
+    assert components.connected_components(df.filter("a is null")).count() == 0
