@@ -271,10 +271,10 @@ def _counted(tokenizer: str, langs: Sequence[str]):
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many texts (at, values) each feature occurs, then the number of texts."""
+    """In how many texts (at) each feature occurs, then the number of texts."""
     seen, texts = np.zeros(_FEATURES, np.int64), 0
     for batch in batches:
-        seen += np.bincount(_Rows(batch.column(0), batch.column(1), "<f4").at, minlength=_FEATURES)
+        seen += np.bincount(_Rows._flat(batch.column(0), "<u2")[0], minlength=_FEATURES)
         texts += batch.num_rows
     yield from _slots(seen, np.array([texts]))
 
@@ -434,7 +434,7 @@ def clusters(
     counted = scratch.written(map_arrow(narrow, _counted(tokenizer, langs), head + fields), paths[0])
     full = counted.filter("n_tokens > 0")
 
-    found = _totals(map_arrow(full.select("at", "values"), _seen, "slot bigint, n bigint"), _FEATURES + 1)
+    found = _totals(map_arrow(full.select("at"), _seen, "slot bigint, n bigint"), _FEATURES + 1)
     idf = np.log((1 + found[-1]) / (1 + found[:-1]))
     found = _totals(map_arrow(full.select("kind", "at", "values"), _meant(idf, kinds), "slot bigint, n bigint"), kinds * (_FEATURES + 1))
     sums, texts = np.split(found, [kinds * _FEATURES])
