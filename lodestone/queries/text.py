@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import clean
+from lodestone.operators import phrases as P
 from lodestone.operators.similarity import jaccard
 from lodestone.queries.common import ARTICLES, CLEANING, MARKETING, NOT_WORD, WORD, WS, articles, count_sql, joined, pieces_sql, present_sql, strip_sql, table, words_sql
 
@@ -97,9 +98,7 @@ def top_words(spark, sf_dir):
 
 def top_phrases(spark, sf_dir):
     """The thirty most frequent phrases: a report of a fixed length."""
-    found = F.explode_outer(T.phrases(F.col("text"), MARKETING.function_words)).alias("phrase")
-    counts = _docs(spark, sf_dir).select(found).filter("phrase is not null").groupBy("phrase").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "phrase").limit(30)
+    return P.top_phrases(_docs(spark, sf_dir), MARKETING.function_words)
 
 
 QUERIES = {f.__name__: f for f in (word_counts, text_stats, clean_text, sentences, section_headers, clean_article, cleaning_stats, marker_score, pdf_clean, embedding_text, semantic_sentences, query_text, safe_filename, jaccard_excerpt, top_words, top_phrases)}
