@@ -6,38 +6,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.plans.arrow import map_arrow
 
-#: Queries compared at once with a batch of the corpus.
-QUERY_BLOCK = 4096
+#: Queries of one pass over the corpus, and how many of them and of a batch's rows are compared at once.
+QUERY_BLOCK, TILE = 16_384, (256, 2048)
+
+
+def _numbers(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors that have so many numbers and no null, and those as a matrix."""
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), size), False)
+    rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+    flat = column.take(pa.array(rows)).flatten()
+    if flat.null_count:
+        whole = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size).all(axis=1)
+        rows = rows[whole]
+        flat = column.take(pa.array(rows)).flatten()
+    return rows, flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
+
+
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row by rounded score and then by name."""
+    if scores.shape[1] <= 4 * k:
+        return np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+    few = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    ties = (scores >= np.take_along_axis(scores, few, 1).min(axis=1, keepdims=True)).sum(axis=1).max()
+    if ties > k:  # any that are as good as the k-th may have lesser names
+        few = np.argpartition(-scores, ties - 1, axis=1)[:, :ties]
+    order = np.lexsort((names[few], -np.take_along_axis(scores, few, 1)), axis=1)[:, :k]
+    return np.take_along_axis(few, order, 1)
 
 
 def _scored(ids: list, matrix: np.ndarray, k: int, metric: str):
-    """Per batch of the corpus the k best of it for each query of a block."""
+    """The k best rows of a partition for each query of a block.
+
+    Queries and rows meet tile by tile, and of each query only its k best so far are held: memory
+    is bounded by the block, however large the partition.
+    """
+
+    def compared(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            size = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
+            return np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0)
+        return 1 - ((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == matrix.shape[1] and None not in v]
-            if not rows or not len(matrix):
-                continue
-            corpus = np.array([batch.column(1)[i].as_py() for i in rows], float)
-            if metric == "cosine":
-                size = np.outer(np.linalg.norm(matrix, axis=1), np.linalg.norm(corpus, axis=1))
-                scores = np.divide(matrix @ corpus.T, size, out=np.zeros(size.shape), where=size > 0)
-            else:
-                scores = 1 - ((matrix**2).sum(1)[:, None] + (corpus**2).sum(1)[None, :] - 2 * matrix @ corpus.T)
-            names = np.array([batch.column(0)[i].as_py() for i in rows])
-            best = np.lexsort((np.broadcast_to(names, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-            q = np.repeat(np.arange(len(ids)), best.shape[1])
-            flat = best.ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[i] for i in q], pa.int64()), pa.array(names[flat], pa.int64()), pa.array(scores[q, flat])],
-                ["query_id", "vec_id", "similarity"],
-            )
+        # Of each query the similarities, those rounded and the names of its best; nothing yet is -inf.
+        raw, rounded, best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        for batch in batches if len(ids) else ():
+            for start in range(0, batch.num_rows, TILE[1]):
+                part = batch.slice(start, TILE[1])
+                rows, corpus = _numbers(part.column(1), matrix.shape[1])
+                if not len(rows):
+                    continue
+                names = part.column(0).to_numpy(zero_copy_only=False)[rows]
+                for first in range(0, len(ids), TILE[0]):
+                    block = slice(first, first + TILE[0])
+                    scores = compared(matrix[block], corpus)
+                    tidy = np.round(scores, 9)
+                    some = np.flatnonzero((tidy >= rounded[block, -1:]).any(axis=1))
+                    if not len(some):
+                        continue
+                    at = first + some
+                    few = _best(tidy[some], names, k)
+                    all_tidy = np.hstack([rounded[at], np.take_along_axis(tidy[some], few, 1)])
+                    all_raw = np.hstack([raw[at], np.take_along_axis(scores[some], few, 1)])
+                    all_names = np.hstack([best[at], names[few]])
+                    keep = np.lexsort((all_names, -all_tidy), axis=1)[:, :k]
+                    rounded[at], raw[at], best[at] = (np.take_along_axis(x, keep, 1) for x in (all_tidy, all_raw, all_names))
+        names = np.array(ids, np.int64)
+        for first in range(0, len(ids), TILE[0]):
+            block = slice(first, first + TILE[0])
+            q, place = np.nonzero(rounded[block] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[block][q], best[block][q, place], raw[block][q, place])], ["query_id", "vec_id", "similarity"])
 
     return run
 
@@ -47,7 +92,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "cos
 
     Exact: each task keeps the k best of its rows for every query, so what is shuffled is k rows
     for each task and query whatever the corpus.  Queries ``(query_id, query_vec)`` come in
-    blocks, each of which makes one pass.  Ties fall to the least id; null vectors and ones of
+    blocks, each of which makes one pass; every query meets every vector, so the time is their
+    product and the memory of a task a block's.  Ties fall to the least id; null vectors and ones of
     another length are left out.
     """
     found = None

@@ -2,7 +2,10 @@
 
 from collections import Counter
 
-from lodestone.operators import phrases
+import numpy as np
+import pyarrow as pa
+
+from lodestone.operators import phrases, vector
 
 
 def test_phrases_are_counted_where_they_can_be_frequent(spark):
@@ -27,3 +30,24 @@ def test_phrases_are_counted_where_they_can_be_frequent(spark):
     finally:
         phrases.map_arrow = counted
     assert made[-1].count() < sum(want.values()) / 2
+
+
+def test_top_k_holds_a_block_and_no_more():
+    """The k best of a partition come once for each query, whatever its batches, with ties by id."""
+    r = np.random.default_rng(3)
+    x = np.repeat(r.normal(size=(600, 8)), 10, axis=0)  # ten copies of each
+    x[5990:] = 0
+    ids = r.permutation(len(x))
+    vectors = [v.tolist() for v in x]
+    vectors[3], vectors[17], vectors[40] = None, [1.0], [1.0] * 7 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.list_(pa.float32()))], ["vec_id", "vec"])
+    q = x[::20].astype(np.float32).astype(float)
+    made = list(vector._scored(list(range(len(q))), q, 15, "cosine")(iter(batch.slice(i, 700) for i in range(0, len(x), 700))))
+    got = pa.Table.from_batches(made).to_pylist()
+    assert len(got) == 15 * len(q) and max(b.num_rows for b in made) <= 15 * vector.TILE[0]
+    kept = [i for i in range(len(x)) if i not in (3, 17, 40)]
+    y, norm = x[kept].astype(np.float32).astype(float), lambda m: np.linalg.norm(m, axis=1)
+    scores = np.divide(q @ y.T, size := np.outer(norm(q), norm(y)), out=np.zeros((len(q), len(y))), where=size > 0)
+    best = np.lexsort((np.broadcast_to(ids[kept], scores.shape), -np.round(scores, 9)), axis=1)[:, :15]
+    assert [g["vec_id"] for g in got] == ids[kept][best].ravel().tolist()
+    assert np.allclose([g["similarity"] for g in got], np.take_along_axis(scores, best, 1).ravel())
