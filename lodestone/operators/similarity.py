@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lodestone.functions.text import contains_any, normalized, pieces, text_of, text_stats, word_count, words
-from lodestone.plans.arrow import ship
+from lodestone.plans.arrow import map_arrow, ship
 
 # Words that the comparison leaves out, and its signs of a paywall.
 STOP_WORDS = ("a", "aj", "ako", "ale", "alebo", "aby", "by", "bol", "bola", "bolo", "do", "je", "na", "nie", "od", "po", "pre", "pri", "sa", "si", "so", "sú", "to", "v", "vo", "z", "za", "že")
@@ -102,26 +104,85 @@ def pair_structure(pairs: DataFrame) -> DataFrame:
     return both.drop("__a", "__b")
 
 
+#: Classes of characters whose counts tell sentences apart, and sentences counted at once.
+_CLASSES, _COUNTED = 64, 4096
+
+
+def _class_counts(texts: Sequence[str]) -> np.ndarray:
+    """How many characters of each class the texts have, a row each."""
+    out = np.zeros((len(texts), _CLASSES), np.int32)
+    for start in range(0, len(texts), _COUNTED):
+        part = texts[start : start + _COUNTED]
+        codes = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), "<u4") % _CLASSES
+        rows = np.repeat(np.arange(len(part)), [len(t) for t in part])
+        out[start : start + len(part)] = np.bincount(rows * _CLASSES + codes, minlength=len(part) * _CLASSES).reshape(-1, _CLASSES)
+    return out
+
+
+def _like_any(others: list[str], limit: float) -> Callable[[str], bool]:
+    """Whether a text is equal to, or has a ratio over ``limit`` with, any of the others.
+
+    No ratio is greater than what the lengths or the counts of characters allow, so only the few
+    whose bounds are over the limit are compared.
+    """
+    known, counts, ready = set(others), None, {}
+    sizes = np.array([len(o) for o in others], np.int64)
+
+    def told(text: str) -> bool:
+        nonlocal counts
+        if text in known:
+            return True
+        if not text or not others:
+            return False
+        near = np.flatnonzero(np.minimum(sizes, len(text)) * 2 / (sizes + len(text)) > limit)
+        if not len(near):
+            return False
+        counts = _class_counts(others) if counts is None else counts
+        common = np.minimum(counts[near], _class_counts([text])).sum(axis=1)
+        for at in near[common * 2 / (sizes[near] + len(text)) > limit]:
+            if others[at] not in ready:
+                ready[others[at]] = SequenceMatcher(None, "", others[at])
+            ready[others[at]].set_seq1(text)
+            if ready[others[at]].ratio() > limit:
+                return True
+        return False
+
+    return told
+
+
+def _unlike(limit: float, first: int) -> Callable:
+    """Rows (key, sentences and their norms of a, those of b) as rows (key, side, place, sentence)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i in range(batch.num_rows):
+                own_a, norm_a, own_b, norm_b = (batch.column(c)[i].as_py() for c in range(1, 5))
+                for side, own, norms, others in (("a", own_a, norm_a, norm_b), ("b", own_b, norm_b, norm_a)):
+                    like, kept = _like_any(others, limit), 0
+                    for place, (sentence, norm) in enumerate(zip(own, norms, strict=True)):
+                        if kept == first:
+                            break
+                        if not like(norm):
+                            at.append(i)
+                            rows.append((side, place, sentence))
+                            kept += 1
+            sides, places, sentences = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(sides, pa.string()), pa.array(places, pa.int32()), pa.array(sentences, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [batch.schema.names[0], "side", "place", "sentence"])
+
+    return run
+
+
 def unique_sentences(pairs: DataFrame, key: str = "pair_id", limit: float = 0.8, first: int = 5) -> DataFrame:
     """``(key, side, place, sentence)``: sentences of one text without a similar one in the
     other, the first of each side.
 
-    Equal sentences are matched by a join; only the rest is compared, with sentences of the
-    other text whose length allows the ratio.  Both texts bound what is compared.
+    A pair is one row that nothing shuffles; its sentences are looked at in order until ``first``
+    of a side are found.  Equal ones are told by a set, most unlike ones by lengths and counts of
+    characters.
     """
-    ship(pairs.sparkSession)
-
-    def side(name: str) -> DataFrame:
-        each = pairs.select(key, F.posexplode(pieces(F.col(f"text_{name}"))).alias("place", "sentence"))
-        norm = normalized(F.col("sentence"))
-        return each.withColumn("side", F.lit(name)).withColumn("norm", norm).withColumn("size", F.length(norm))
-
-    both = side("a").unionByName(side("b"))
-    other = both.select(key, F.when(F.col("side") == "a", "b").otherwise("a").alias("side"), F.col("norm").alias("norm2"), F.col("size").alias("size2"))
-    exact = both.join(other.select(key, "side", F.col("norm2").alias("norm")).distinct(), [key, "side", "norm"], "left_anti")
-    near = (F.least("size", "size2") * 2 / (F.col("size") + F.col("size2"))) > limit
-    pairs_left = exact.join(other.distinct(), [key, "side"]).filter(near)
-    like = pairs_left.withColumn("r", sequence_ratio("norm", "norm2")).filter(F.col("r") > limit).select(key, "side", "place").distinct()
-    left = exact.join(like, [key, "side", "place"], "left_anti")
-    rank = F.expr(f"row_number() over (partition by {key}, side order by place)")
-    return left.withColumn("__n", rank).filter(F.col("__n") <= first).select(key, "side", "place", "sentence")
+    both = pairs.select(key, *(pieces(F.col(f"text_{x}")).alias(f"own_{x}") for x in "ab"))
+    norms = lambda x: F.transform(f"own_{x}", normalized).alias(f"norm_{x}")
+    kind = pairs.schema[key].dataType.simpleString()
+    return map_arrow(both.select(key, "own_a", norms("a"), "own_b", norms("b")), _unlike(limit, first), f"`{key}` {kind}, side string, place int, sentence string")

@@ -1,11 +1,13 @@
 """Queries whose work or memory must not grow faster than their input."""
 
+import re
 from collections import Counter
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
 
-from lodestone.operators import phrases, vector
+from lodestone.operators import phrases, similarity, vector
 
 
 def test_phrases_are_counted_where_they_can_be_frequent(spark):
@@ -51,3 +53,27 @@ def test_top_k_holds_a_block_and_no_more():
     best = np.lexsort((np.broadcast_to(ids[kept], scores.shape), -np.round(scores, 9)), axis=1)[:, :15]
     assert [g["vec_id"] for g in got] == ids[kept][best].ravel().tolist()
     assert np.allclose([g["similarity"] for g in got], np.take_along_axis(scores, best, 1).ravel())
+
+
+def test_unique_sentences_by_brute_force(spark):
+    """As by comparing all sentences, in one pass without a shuffle or a row for a pair of them."""
+    r = np.random.default_rng(5)
+    words = ["alpha", "beta", "gamma", "delta", "ähre", "omega", "tau", "日本"]
+    say = lambda: " ".join(r.choice(words, r.integers(1, 6)))
+    rows = []
+    for i in range(40):
+        b = [say() for _ in range(r.integers(0, 9))]
+        a = [s + r.choice(["", "x", " tau"]) if r.random() < 0.5 else say() for s in b + ["--", "Beta"]]
+        rows.append((i, "! ".join(a), ". ".join(b)))
+    df = spark.createDataFrame([*rows, (98, None, "a. b"), (99, "", None)], "pair_id bigint, text_a string, text_b string").repartition(3)
+    norm = lambda s: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", s.lower())).strip()
+    cut = lambda t: [s.strip() for s in re.split("[.!?]+", t or "") if s.strip()]
+    want = []
+    for i, a, b in [*rows, (98, None, "a. b"), (99, "", None)]:
+        for side, own, other in (("a", cut(a), cut(b)), ("b", cut(b), cut(a))):
+            like = lambda x: any(x == y or (x and y and SequenceMatcher(None, x, y).ratio() > 0.8) for y in map(norm, other))  # noqa: B023, E731
+            want += [(i, side, k, s) for k, s in enumerate(own) if not like(norm(s))][:5] if own else []
+    got = similarity.unique_sentences(df)
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
