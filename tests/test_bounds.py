@@ -1,13 +1,15 @@
 """Queries whose work or memory must not grow faster than their input."""
 
+import random
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 
-from lodestone.operators import phrases, similarity, vector
+from lodestone.operators import chunk, entities, graph, phrases, similarity, vector
 
 
 def test_phrases_are_counted_where_they_can_be_frequent(spark):
@@ -77,3 +79,45 @@ def test_unique_sentences_by_brute_force(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 40
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan and "Window" not in plan
+
+
+def test_chunks_split_texts_once(spark):
+    """A filter on an article's sentences would clean and split its text again; only what is asked for is made."""
+    df = spark.createDataFrame([(1, "The first sentence is here. The second sentence is there. " * 4), (2, "..." * 60), (3, None)], "doc_id int, content string")
+    plan = chunk.fixed_chunks(df, 10, 3, 5, headers=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    whole = chunk.fixed_chunks(df, 10, 3, 5, headers=False)
+    some = chunk.fixed_chunks(df, 10, 3, 5, headers=False, columns=("text", "following_context", "chunk_id"))
+    assert some.columns == ["article_id", "chunk_id", "text", "following_context"]
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*some.columns).collect())) and some.count() > 3
+
+
+def test_terms_are_found_where_words_lie(spark):
+    """Mentions as by a join of all runs of words, without a row for each word."""
+    r = random.Random(2)
+    words = ["the", "Of", "of", "ÄHRE", "ähre", "rights", "reserved", "x_1", "ὈΔΥΣΣΕΎΣ"]
+    rows = [(i, " ".join(r.choice(words) + r.choice(["", ".", " -"]) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(98, None), (99, "")]
+    df = spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(3)
+    terms = [("The", "A"), ("the", "B"), ("of the", "A"), ("ähre", "C"), ("rights reserved of", "D"), ("a b c d", "E"), ("ὈΔΥΣΣΕΎΣ", None), (None, "F"), ("", "G"), ("rights-reserved", "D")]
+    lexicon = spark.createDataFrame(terms, "term string, label string")
+    told = entities.lexicon_entities(df, lexicon)
+    assert "Generate" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got, want = (sorted(map(str, x.select("id", "text", "label", "start", "end", "confidence").collect())) for x in (told, entities.lexicon_entities(df, lexicon, limit=0)))
+    assert got == want and len(got) > 200
+    assert entities.lexicon_entities(df, lexicon.limit(0)).count() == 0
+
+
+def test_names_of_a_chunk_are_paired_without_a_join(spark):
+    r = random.Random(6)
+    rows = [(r.randint(0, 30), r.choice(["A", "a", " b", "c", "D", None])) for _ in range(300)] + [(None, "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "chunk_id int, text string")
+    pairs, counted = Counter(), Counter()
+    for c in {c for c, _ in rows if c is not None}:
+        names = [t.lower() for k, t in rows if k == c and t is not None]
+        pairs.update(combinations(sorted({t.strip() for t in names}), 2))
+        n = Counter(names)
+        counted.update({(x, y): n[x] * n[y] for x, y in combinations(sorted(n), 2)})
+    edges = graph.cooccurrence(df, 2)
+    assert {tuple(x) for x in edges.filter("e1 < e2").collect()} == {(*p, n) for p, n in pairs.items() if n > 1}
+    assert {tuple(x) for x in graph.pair_counts(df).collect()} == {(*p, n) for p, n in counted.items()}
+    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
