@@ -38,15 +38,25 @@ def mention_edges(mentions: DataFrame, nodes: DataFrame, exact: bool = False) ->
     return named.join(nodes.select("normalized_name", "name"), "normalized_name").select("name", "chunk_id", "confidence")
 
 
+def _pairs(names: DataFrame, *fields: str) -> DataFrame:
+    """Rows (e1, e2) of structs for all pairs of a chunk's different names, the lesser first, of
+    rows (chunk_id, *fields) that come once for each chunk and name.
+
+    A chunk is a bounded text and so is the array of its names, whose pairs come one by one: one
+    shuffle by chunk in place of a join of the names with themselves.
+    """
+    each = names.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all")).filter(F.size("all") > 1)
+    first = each.select("all", F.posexplode("all").alias("at", "e1"))
+    return first.select("e1", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("e2"))
+
+
 def cooccurrence(mentions: DataFrame, min_strength: int = MIN_STRENGTH) -> DataFrame:
     """``(e1, e2, strength)`` in both directions: in how many chunks two names occur together.
 
-    Names of a chunk are distinct and a chunk is a bounded text, so the self-join on the chunk
-    is bounded by it; pairs are counted before they are doubled.
+    Names of a chunk are distinct; pairs are counted before they are doubled.
     """
-    names = mentions.select("chunk_id", F.trim(F.lower("text")).alias("e")).distinct()
-    a, b = names.select("chunk_id", F.col("e").alias("e1")), names.select("chunk_id", F.col("e").alias("e2"))
-    pairs = a.join(b, "chunk_id").filter("e1 < e2").groupBy("e1", "e2").agg(F.count("*").alias("strength"))
+    names = mentions.select("chunk_id", F.trim(F.lower("text")).alias("e")).filter("chunk_id is not null and e is not null").distinct()
+    pairs = _pairs(names, "e").groupBy(F.col("e1.e").alias("e1"), F.col("e2.e").alias("e2")).agg(F.count("*").alias("strength"))
     pairs = pairs.filter(F.col("strength") >= min_strength)
     return pairs.unionByName(pairs.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), "strength"))
 
@@ -62,10 +72,9 @@ def edges_between_nodes(edges: DataFrame, nodes: DataFrame, exact: bool = False)
 
 def pair_counts(mentions: DataFrame) -> DataFrame:
     """``(e1, e2, strength)`` counting every pair of mentions, repeats included, e1 < e2."""
-    names = mentions.groupBy("chunk_id", F.lower("text").alias("e")).agg(F.count("*").alias("n"))
-    a = names.select("chunk_id", F.col("e").alias("e1"), F.col("n").alias("n1"))
-    b = names.select("chunk_id", F.col("e").alias("e2"), F.col("n").alias("n2"))
-    return a.join(b, "chunk_id").filter("e1 < e2").groupBy("e1", "e2").agg(F.sum(F.col("n1") * F.col("n2")).alias("strength"))
+    names = mentions.groupBy("chunk_id", F.lower("text").alias("e")).agg(F.count("*").alias("n")).filter("chunk_id is not null and e is not null")
+    pairs = _pairs(names, "e", "n").groupBy(F.col("e1.e").alias("e1"), F.col("e2.e").alias("e2"))
+    return pairs.agg(F.sum(F.col("e1.n") * F.col("e2.n")).alias("strength"))
 
 
 def connections(pairs: DataFrame, top: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from lodestone.operators import graph as G
 from lodestone.plans import scratch
 from lodestone.queries.chunks import WITH_CHUNKS, chunks
 from lodestone.queries.common import ARTICLES, articles, joined
-from lodestone.queries.entities import FORMS, MENTIONS, mentions
+from lodestone.queries.entities import FORMS, MENTIONS, keyed_chunks, mentions
 
 PREFERRED = (("person", ("idiot",)),)
 ASKED = ("clown", "license", "avec", "with", "nowhere")
@@ -43,11 +43,11 @@ def entity_nodes(spark, sf_dir):
 
 
 def article_nodes(spark, sf_dir):
-    return G.article_nodes(chunks(spark, sf_dir), _articles(spark, sf_dir))
+    return G.article_nodes(chunks(spark, sf_dir, "chunk_id"), _articles(spark, sf_dir))
 
 
 def chunk_article_join(spark, sf_dir):
-    c = G.chunk_articles(chunks(spark, sf_dir), _articles(spark, sf_dir))
+    c = G.chunk_articles(chunks(spark, sf_dir, "chunk_id"), _articles(spark, sf_dir))
     return c.select("article_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "title", "url")
 
 
@@ -77,9 +77,10 @@ def cooccurrence_analysis(spark, sf_dir):
 
 
 def graph_stats(spark, sf_dir):
-    m = _mentions(spark, sf_dir)
+    c = scratch.written(keyed_chunks(spark, sf_dir))
+    m = scratch.written(mentions(spark, sf_dir, c))
     nodes = _nodes(m)
-    return G.graph_stats(nodes, G.article_nodes(chunks(spark, sf_dir), _articles(spark, sf_dir)), chunks(spark, sf_dir), G.cooccurrence(m), G.mention_edges(m, nodes, exact=True))
+    return G.graph_stats(nodes, G.article_nodes(c, _articles(spark, sf_dir)), c, G.cooccurrence(m), G.mention_edges(m, nodes, exact=True))
 
 
 def entity_context(spark, sf_dir):
