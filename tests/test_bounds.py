@@ -121,3 +121,37 @@ def test_names_of_a_chunk_are_paired_without_a_join(spark):
     assert {tuple(x) for x in edges.filter("e1 < e2").collect()} == {(*p, n) for p, n in pairs.items() if n > 1}
     assert {tuple(x) for x in graph.pair_counts(df).collect()} == {(*p, n) for p, n in counted.items()}
     assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_semantic_chunks_are_one_pass(spark):
+    """Distances and chunks as by their definition; no lambda holds a limit, which it would work out for each sentence."""
+    r = random.Random(8)
+    words = ["Cats", "chase", "mice", "Engines", "burn", "fuel", "ähre", "the", "of"]
+    rows = [(i, " ".join(" ".join(r.choice(words) for _ in range(r.randint(1, 9))).capitalize() + r.choice(".!") for _ in range(r.randint(0, 30)))) for i in range(50)] + [(98, None), (99, " two  words ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, content string").repartition(3)
+    for buffer in (1, 2):
+        plain = {x["article_id"]: x for x in chunk.sentence_distances(df, buffer, embed=lambda s: chunk.hashed_vector(s)).collect()}
+        told = {x["article_id"]: x for x in chunk.sentence_distances(df, buffer).collect()}
+        assert told.keys() == plain.keys()
+        for i, x in plain.items():
+            assert told[i]["sents"] == x["sents"] and np.allclose(told[i]["distances"], x["distances"], atol=1e-12)
+        for keep in (True, False):
+            want = []
+            for i, x in told.items():
+                sents, away = x["sents"], x["distances"]
+                texts = [dict(rows)[i] or ""]
+                if away:
+                    limit = np.percentile(away, 70)
+                    starts = [0, *(k + buffer for k, d in enumerate(away) if d > limit)]
+                    groups = [sents[s:e] for s, e in zip(starts, [*starts[1:], len(sents)])]
+                    texts, now = [], []
+                    for g in groups:
+                        if now and len(" ".join(now + g).split()) > 20:
+                            texts, now = [*texts, " ".join(now)], []
+                        now = now + g
+                    texts = [t for t in [*texts, " ".join(now)] if keep or len(t.split()) >= 8]
+                want += [(i, k, t, len(t.split())) for k, t in enumerate(texts)]
+            got = chunk.semantic_chunks(df, 8, 20, amount=70.0, buffer=buffer, keep_small=keep)
+            assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 60
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("array_sort(") + plan.count("sort_array(") <= 4
