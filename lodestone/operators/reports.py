@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import count_of
+from lodestone.functions.text import count_of, let
 from lodestone.operators.clean import review_text
 from lodestone.operators.packs import SLOVAK_MARKETING, MarketingPack
 
@@ -44,8 +44,11 @@ def pdf_summary(files: DataFrame) -> DataFrame:
 
 def noise(text: Column, pack: MarketingPack = SLOVAK_MARKETING) -> Column:
     """An array of (kind, pattern, times) of what sells, navigates or describes in a text, and of
-    self-references met more than three times."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    self-references met more than three times.  The text is worked out once, not for each pattern."""
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: _noise_of(low, pack))
+
+
+def _noise_of(low: Column, pack: MarketingPack) -> Column:
     found = [(kind, k, count_of(low, k), 0) for kind in ("marketing", "navigation", "meta") for k in getattr(pack, kind)]
     found += [("self_reference", p, F.regexp_count(low, F.lit("(?U)" + p)), 3) for p in pack.self_references]
     tag = lambda kind, k, n, least: F.when(n > least, F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("pattern"), n.cast("bigint").alias("times")))
@@ -55,7 +58,8 @@ def noise(text: Column, pack: MarketingPack = SLOVAK_MARKETING) -> Column:
 def top_noise(articles: DataFrame, pack: MarketingPack = SLOVAK_MARKETING, top: int = 20) -> DataFrame:
     """``(kind, pattern, times, articles)``: the patterns met as often in most articles; a report
     of a fixed length."""
-    each = articles.select(F.explode(noise(review_text(F.col("content")), pack)).alias("x")).select("x.*")
+    # The outer variant: the other has a filter on the array's size, which would look for all of it again.
+    each = articles.select(F.explode_outer(noise(review_text(F.col("content")), pack)).alias("x")).filter("x is not null").select("x.*")
     counts = each.groupBy("kind", "pattern", "times").agg(F.count("*").alias("articles"))
     return counts.orderBy(F.desc("articles"), "kind", "pattern", "times").limit(top)
 

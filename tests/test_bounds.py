@@ -9,7 +9,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from lodestone.operators import chunk, entities, graph, phrases, similarity, vector
+from lodestone.operators import chunk, entities, graph, phrases, reports, similarity, vector
+from lodestone.operators.packs import REFERENCE_MARKS, MarketingPack
 
 
 def test_phrases_are_counted_where_they_can_be_frequent(spark):
@@ -48,7 +49,7 @@ def test_top_k_holds_a_block_and_no_more():
     q = x[::20].astype(np.float32).astype(float)
     made = list(vector._scored(list(range(len(q))), q, 15, "cosine")(iter(batch.slice(i, 700) for i in range(0, len(x), 700))))
     got = pa.Table.from_batches(made).to_pylist()
-    assert len(got) == 15 * len(q) and max(b.num_rows for b in made) <= 15 * vector.TILE[0]
+    assert len(got) == 15 * len(q) and max(b.num_rows for b in made) <= 15 * 256
     kept = [i for i in range(len(x)) if i not in (3, 17, 40)]
     y, norm = x[kept].astype(np.float32).astype(float), lambda m: np.linalg.norm(m, axis=1)
     scores = np.divide(q @ y.T, size := np.outer(norm(q), norm(y)), out=np.zeros((len(q), len(y))), where=size > 0)
@@ -155,3 +156,17 @@ def test_semantic_chunks_are_one_pass(spark):
             assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 60
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and plan.count("array_sort(") + plan.count("sort_array(") <= 4
+
+
+def test_noise_of_a_text_is_worked_out_once(spark):
+    df = spark.createDataFrame([(f"The clown sells. Clown the the the {i % 3} the license" + " with the" * (i % 4),) for i in range(30)] + [(None,)], "content string")
+    pack = MarketingPack(marketing=("clown", "with the"), navigation=("from",), meta=("license",), self_references=(r"\bthe\b",), function_words=())
+    want = Counter()
+    for r in df.collect():
+        low = (r["content"] or "").lower()
+        found = [("marketing", "clown", low.count("clown"), 0), ("marketing", "with the", low.count("with the"), 0), ("navigation", "from", low.count("from"), 0)]
+        found += [("meta", "license", low.count("license"), 0), ("self_reference", r"\bthe\b", len(re.findall(r"\bthe\b", low)), 3)]
+        want.update((kind, p, n) for kind, p, n, least in found if n > least)
+    got = reports.top_noise(df, pack)
+    assert [tuple(r) for r in got.collect()] == [(*k, n) for k, n in sorted(want.items(), key=lambda x: (-x[1], x[0]))][:20]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2 + len(REFERENCE_MARKS)
