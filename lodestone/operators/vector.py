@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
 from lodestone.plans.arrow import map_arrow
+from lodestone.plans.best import Best
 
 #: Queries of one pass over the corpus, and how many of them and of a batch's rows are compared at once.
 QUERY_BLOCK, TILE = 16_384, (256, 2048)
@@ -29,18 +30,6 @@ def _numbers(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), size)
 
 
-def _best(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row by rounded score and then by name."""
-    if scores.shape[1] <= 4 * k:
-        return np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
-    few = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    ties = (scores >= np.take_along_axis(scores, few, 1).min(axis=1, keepdims=True)).sum(axis=1).max()
-    if ties > k:  # any that are as good as the k-th may have lesser names
-        few = np.argpartition(-scores, ties - 1, axis=1)[:, :ties]
-    order = np.lexsort((names[few], -np.take_along_axis(scores, few, 1)), axis=1)[:, :k]
-    return np.take_along_axis(few, order, 1)
-
-
 def _scored(ids: list, matrix: np.ndarray, k: int, metric: str):
     """The k best rows of a partition for each query of a block.
 
@@ -55,8 +44,7 @@ def _scored(ids: list, matrix: np.ndarray, k: int, metric: str):
         return 1 - ((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of each query the similarities, those rounded and the names of its best; nothing yet is -inf.
-        raw, rounded, best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+        best = Best(len(ids), k)
         for batch in batches if len(ids) else ():
             for start in range(0, batch.num_rows, TILE[1]):
                 part = batch.slice(start, TILE[1])
@@ -65,24 +53,8 @@ def _scored(ids: list, matrix: np.ndarray, k: int, metric: str):
                     continue
                 names = part.column(0).to_numpy(zero_copy_only=False)[rows]
                 for first in range(0, len(ids), TILE[0]):
-                    block = slice(first, first + TILE[0])
-                    scores = compared(matrix[block], corpus)
-                    tidy = np.round(scores, 9)
-                    some = np.flatnonzero((tidy >= rounded[block, -1:]).any(axis=1))
-                    if not len(some):
-                        continue
-                    at = first + some
-                    few = _best(tidy[some], names, k)
-                    all_tidy = np.hstack([rounded[at], np.take_along_axis(tidy[some], few, 1)])
-                    all_raw = np.hstack([raw[at], np.take_along_axis(scores[some], few, 1)])
-                    all_names = np.hstack([best[at], names[few]])
-                    keep = np.lexsort((all_names, -all_tidy), axis=1)[:, :k]
-                    rounded[at], raw[at], best[at] = (np.take_along_axis(x, keep, 1) for x in (all_tidy, all_raw, all_names))
-        names = np.array(ids, np.int64)
-        for first in range(0, len(ids), TILE[0]):
-            block = slice(first, first + TILE[0])
-            q, place = np.nonzero(rounded[block] > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[block][q], best[block][q, place], raw[block][q, place])], ["query_id", "vec_id", "similarity"])
+                    best.add(first, compared(matrix[first : first + TILE[0]], corpus), names)
+        yield from best.rows(ids, ["query_id", "vec_id", "similarity"])
 
     return run
 

@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 
-from lodestone.operators import chunk, entities, graph, phrases, reports, similarity, vector
+from lodestone.operators import chunk, entities, graph, phrases, reports, search, similarity, vector
 from lodestone.operators.packs import REFERENCE_MARKS, MarketingPack
 
 
@@ -170,3 +170,23 @@ def test_noise_of_a_text_is_worked_out_once(spark):
     got = reports.top_noise(df, pack)
     assert [tuple(r) for r in got.collect()] == [(*k, n) for k, n in sorted(want.items(), key=lambda x: (-x[1], x[0]))][:20]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= 2 + len(REFERENCE_MARKS)
+
+
+def test_texts_are_ranked_where_they_lie(spark):
+    """As by an index, with rows of one id as one text, and without rows for postings."""
+    r = random.Random(4)
+    words = ["red", "Fish", "blue", "bird", "ähre", "x", "the"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, say(r.randint(0, 9))) for i in range(80)] + [(97, None), (98, "")]
+    asked = [(q, say(r.randint(0, 4))) for q in range(12)] + [(50, "nothing"), (51, None)]
+    queries = spark.createDataFrame(asked, "query_id int, query string")
+    for more in ([], [(5, "red red fish"), (5, "bird"), (7, "ähre")]):
+        df = spark.createDataFrame(rows + more, "chunk_id bigint, text string").repartition(3)
+        want = search.look_up(search.inverted_index(df), queries, 80, 4)
+        got = search.find(df, queries, 80, 4)
+        assert got.columns == want.columns
+        assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+        tidy = lambda x: sorted((r["query_id"], r["id"], round(r["score"], 8), r["rank"]) for r in x.collect())
+        assert tidy(got) == tidy(want) and len(tidy(got)) > 30
+    assert tidy(search.find(df, queries, 80, 4, limit=1)) == tidy(want)
+    assert search.find(df, queries.limit(0), 80).count() == search.find(df.limit(0), queries, 0).count() == 0
