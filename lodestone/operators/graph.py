@@ -45,11 +45,17 @@ def _pairs(names: DataFrame, *fields: str) -> DataFrame:
     A chunk is a bounded text and so is the array of its names, whose pairs come one by one: one
     shuffle by chunk in place of a join of the names with themselves.
     """
-    each = names.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all")).filter(F.size("all") > 1)
+    each = names.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("all")).filter(F.size("all") > 1)
     first = each.select("all", F.posexplode("all").alias("at", "e1"))
     return first.select("e1", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("e2"))
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs (e1, e2, strength) and their reverse; a union would work out the pairs twice."""
+    ends = F.explode(F.array(F.struct("e1", "e2"), F.struct(F.col("e2").alias("e1"), F.col("e1").alias("e2"))))
+    return pairs.select(ends.alias("x"), "strength").select("x.e1", "x.e2", "strength")
+
+
 def cooccurrence(mentions: DataFrame, min_strength: int = MIN_STRENGTH) -> DataFrame:
     """``(e1, e2, strength)`` in both directions: in how many chunks two names occur together.
 
@@ -58,7 +64,7 @@ def cooccurrence(mentions: DataFrame, min_strength: int = MIN_STRENGTH) -> DataF
     names = mentions.select("chunk_id", F.trim(F.lower("text")).alias("e")).filter("chunk_id is not null and e is not null").distinct()
     pairs = _pairs(names, "e").groupBy(F.col("e1.e").alias("e1"), F.col("e2.e").alias("e2")).agg(F.count("*").alias("strength"))
     pairs = pairs.filter(F.col("strength") >= min_strength)
-    return pairs.unionByName(pairs.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), "strength"))
+    return _both_ways(pairs)
 
 
 def edges_between_nodes(edges: DataFrame, nodes: DataFrame, exact: bool = False) -> DataFrame:
@@ -79,7 +85,7 @@ def pair_counts(mentions: DataFrame) -> DataFrame:
 
 def connections(pairs: DataFrame, top: int = 5) -> DataFrame:
     """For each entity its connections in all, different ones, and the strongest."""
-    both = pairs.unionByName(pairs.select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), "strength"))
+    both = _both_ways(pairs)
     place = F.expr("row_number() over (partition by e1 order by strength desc, e2)")
     best = both.withColumn("__place", place).filter(F.col("__place") <= top).groupBy("e1")
     best = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", "e2"))), lambda x: x["e2"]).alias("strongest"))

@@ -121,7 +121,8 @@ def test_names_of_a_chunk_are_paired_without_a_join(spark):
     edges = graph.cooccurrence(df, 2)
     assert {tuple(x) for x in edges.filter("e1 < e2").collect()} == {(*p, n) for p, n in pairs.items() if n > 1}
     assert {tuple(x) for x in graph.pair_counts(df).collect()} == {(*p, n) for p, n in counted.items()}
-    assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Union" not in plan  # which would work out all mentions twice
 
 
 def test_semantic_chunks_are_one_pass(spark):
